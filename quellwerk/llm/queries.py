@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quellwerk.llm import decontaminate, line_dedup, mixing, sharding
+from quellwerk.llm import decontaminate, line_dedup, mixing, sharding, warc
 from quellwerk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_shards": lambda spark, d: sharding.query(table(spark, d, "documents")),
+    "op6_arc_to_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
     "op9_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
     "op10_mix": lambda spark, d: mixing.query(table(spark, d, "documents")),
 }
@@ -21,5 +22,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op5_shards": sharding.ORACLE_SQL,
+    "op6_arc_to_warc": warc.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
