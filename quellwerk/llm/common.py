@@ -78,39 +78,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 CELLS_A_ROW = 2048
+ARRAY_SCHEMA = "chunk int, cells binary"
 
 
-def array_rows(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A long numeric array as rows (chunk, cells), for summed() to add up."""
-    values = np.ascontiguousarray(values, dtype=np.float64)
-    for at in range(0, len(values), CELLS_A_ROW * 256):
-        part = values[at : at + CELLS_A_ROW * 256]
-        cells = [part[i : i + CELLS_A_ROW].tobytes() for i in range(0, len(part), CELLS_A_ROW)]
-        first = at // CELLS_A_ROW
-        yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(cells)), pa.int32()), pa.array(cells, pa.binary())], ["chunk", "cells"])
-
-
-ARRAY_SCHEMA = "chunk int, cells binary"
+def array_rows(values: np.ndarray, dtype: type = np.float64) -> tuple[list[int], list[bytes]]:
+    """A long numeric array as columns (chunk, cells), for summed() to add up."""
+    values = np.ascontiguousarray(values, dtype=dtype)
+    cells = [values[i : i + CELLS_A_ROW].tobytes() for i in range(0, len(values), CELLS_A_ROW)]
+    return list(range(len(cells))), cells
 
 
-def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = np.frombuffer(cells.as_buffer(), dtype=np.float64)
-            if chunk in totals:
-                totals[chunk] += values
-            else:
-                totals[chunk] = values.copy()
-    if totals:
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["chunk", "cells"])
+def array_batch(values: np.ndarray, dtype: type = np.float64) -> pa.RecordBatch:
+    chunk, cells = array_rows(values, dtype)
+    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(cells, pa.binary())], ["chunk", "cells"])
 
 
-def summed(partials: DataFrame, length: int, tasks: int = 16) -> np.ndarray:
+def summed(partials: DataFrame, length: int, dtype: type = np.float64, tasks: int = 16) -> np.ndarray:
     """The sum of the arrays whose array_rows() partials holds. Each task adds a slice of the
     array as a stream, so memory and what reaches the driver depend on length alone."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(cells.as_buffer(), dtype=dtype)
+                if chunk in totals:
+                    totals[chunk] += values
+                else:
+                    totals[chunk] = values.astype(np.float64)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["chunk", "cells"])
+
     total = np.zeros(-(-length // CELLS_A_ROW) * CELLS_A_ROW)
-    for row in partials.repartition(tasks, "chunk").mapInArrow(_add_chunks, ARRAY_SCHEMA).toLocalIterator():
+    for row in partials.select("chunk", "cells").repartition(tasks, "chunk").mapInArrow(add, ARRAY_SCHEMA).collect():
         values = np.frombuffer(row.cells, dtype=np.float64)
         total[row.chunk * CELLS_A_ROW : row.chunk * CELLS_A_ROW + len(values)] += values
     return total[:length]
