@@ -168,12 +168,13 @@ class Mix:
 
     def placements(self) -> DataFrame:
         """The mix itself: (shard, slot, source_rank, block, doc_id, from_word, n_words)."""
-        return self.slots().join(self.pieces(), ["source_rank", "block"]).drop("_tie", "_copy")
+        return self.slots().hint("merge").join(self.pieces(), ["source_rank", "block"]).drop("_tie", "_copy")
 
     def taken_pieces(self) -> DataFrame:
         """pieces() that the mix takes, with times, the number of its passes that take them."""
         uses = self.slots().groupBy("source_rank", "block").agg(F.count(F.lit(1)).alias("times"))
-        return self.pieces().join(uses, ["source_rank", "block"])
+        # The planner guesses the slots' size from the few sources; they must not be broadcast.
+        return self.pieces().join(uses.hint("merge"), ["source_rank", "block"])
 
 
 def mixed_texts(docs: DataFrame, block_words: int = 1024, **options) -> DataFrame:
