@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quellwerk.llm import decontaminate, jaccard, line_dedup, mixing, sharding, warc
+from quellwerk.llm import decontaminate, jaccard, langid, line_dedup, mixing, quality, sharding, toxicity, warc
 from quellwerk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op3_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_ngram_jaccard": lambda spark, d: jaccard.query(table(spark, d, "documents")),
     "op5_shards": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op6_arc_to_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
+    "op7_language": lambda spark, d: langid.query(table(spark, d, "documents")),
+    "op8_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
     "op10_mix": lambda spark, d: mixing.query(table(spark, d, "documents")),
 }
