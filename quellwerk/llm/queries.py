@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quellwerk.llm import decontaminate, jaccard, langid, line_dedup, mixing, quality, sharding, toxicity, warc
+from quellwerk.llm import decontaminate, jaccard, langid, line_dedup, mixing, neighbours, quality, sharding, toxicity, warc
 from quellwerk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op2_nn_descent": lambda spark, d: neighbours.query(table(spark, d, "embeddings")),
     "op3_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_ngram_jaccard": lambda spark, d: jaccard.query(table(spark, d, "documents")),
     "op5_shards": lambda spark, d: sharding.query(table(spark, d, "documents")),
