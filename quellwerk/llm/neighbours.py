@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from quellwerk.llm.common import materialise, small_batches
 
 #: Neighbours a node keeps, and the most neighbours that one local join takes at a time.
-DEGREE, GATHER = 16, 48
-ROUNDS, BLOCK, TREES, BEAM = 6, 160, 4, 48
+DEGREE, GATHER = 24, 80
+ROUNDS, BLOCK, TREES, BEAM = 8, 160, 4, 96
 
 
 def usable(vector: Column) -> Column:
