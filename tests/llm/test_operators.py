@@ -1,0 +1,236 @@
+"""Corpus operators on small hand-made tables, against brute force and planted cases."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quellwerk.llm import components, decontaminate, jaccard, langid, line_dedup, mixing, neighbours, quality, sharding, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, lang="en", source="s"):
+    rows = [(i, t, lang, source, None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture
+def odd(spark):
+    """Nulls in any column, empty texts, a repeated row, and clashing extra columns."""
+    rows = [(1, "Same line here\nb", "en", "s", 1), (1, "Same line here\nb", "en", "s", 1), (2, "", None, None, None), (3, None, "en", "t", 0), (None, "same line here", "fr", None, None), (4, "  SAME LINE HERE\t\nx" + " word" * 9, "en", "s", 5)]
+    return spark.createDataFrame(rows, DOCS).withColumn("n_words", F.lit("mine")).withColumn("keeper", F.lit(0)).withColumn("score", F.lit("x"))
+
+
+QUERIES = {
+    "op1": lambda d: decontaminate.query(d, d.sparkSession.createDataFrame([(7, "Same LINE"), (None, "zzz"), (8, None)], "item_id long, text string")),
+    "op3": lambda d: quality.query(d, d.sparkSession.createDataFrame([(1, 1, None), (4, 0, 1), (None, 1, 1), (2, None, 0)], "doc_id long, quality int, toxic int")),
+    "op4": jaccard.query,
+    "op5": lambda d: sharding.query(d, 20),
+    "op7": langid.query,
+    "op8": lambda d: toxicity.query(d, d.sparkSession.createDataFrame([(1, 1, None), (4, 0, 1), (None, 1, 1), (2, None, 0)], "doc_id long, quality int, toxic int")),
+    "op9": line_dedup.query,
+    "op10": mixing.query,
+}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_odd_rows_and_empty_table(odd, name):
+    got = QUERIES[name](odd).collect()
+    assert len(got) == 6 and sorted((r.doc_id for r in got if r.doc_id is not None)) == [1, 1, 2, 3, 4]
+    assert QUERIES[name](odd.limit(0)).collect() == []
+
+
+def test_decontaminate_against_brute_force(spark):
+    rng = random.Random(1)
+    word = lambda: rng.choice(["a", "B", "ü9", "x-y"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 4, 6])))) for i in range(12)]
+    texts = [" ".join(word() for _ in range(rng.randrange(30))) for _ in range(30)]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (1 << 20, 20):
+        got = {r.doc_id: r for r in decontaminate.annotate(docs_of(spark, texts), benchmark, size=4, block_bytes=block_bytes).collect()}
+        for i, text in enumerate(texts):
+            w, hit, ids = split(text), set(), set()
+            for item, its in items:
+                v = split(its)
+                for k in range(max(1, len(v) - 3)):
+                    p = v[k : k + 4]
+                    for at in range(len(w) - len(p) + 1):
+                        if p and w[at : at + len(p)] == p:
+                            hit.update(range(at, at + len(p)))
+                            ids.add(str(item))
+            assert (got[i].n_words, got[i].n_hit, got[i].hit_items) == (len(w), len(hit), sorted(ids))
+
+
+def test_line_dedup_keeps_smallest(spark):
+    got = {r.doc_id: r for r in line_dedup.dedupe_lines(docs_of(spark, ["a\nLong line one\nz", " long LINE one\nq", "É long line\n\nlong line one", "short\nshort"])).collect()}
+    assert [got[i].text for i in range(4)] == ["a\nLong line one\nz", "q", "É long line\n", "short\nshort"]
+    assert [(got[i].n_lines, got[i].n_dropped) for i in range(4)] == [(3, 0), (2, 1), (3, 1), (2, 0)]
+    three = line_dedup.dedupe_lines(docs_of(spark, ["long line one"] * 2 + ["other line 1"] * 3), min_docs=3).collect()
+    assert sum(r.n_dropped for r in three) == 2
+
+
+def brute_components(texts, size, num, den):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            inter = len(a & sets[j])
+            if a and sets[j] and den * inter >= num * (len(a) + len(sets[j]) - inter):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return [(len(s), c) for s, c in zip(sets, label, strict=True)]
+
+
+@pytest.mark.parametrize(("size", "num", "den"), [(3, 9, 10), (2, 6, 10), (5, 8, 10)])
+def test_jaccard_against_brute_force(spark, size, num, den):
+    rng = random.Random(size)
+    texts = [None, "", " \n", "one", "ONE", "one two", "one  Two"]
+    for _ in range(6):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 60))]
+        for _ in range(8):
+            copy = [w if rng.random() > 0.02 else f"e{rng.randrange(9)}" for w in base]
+            texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), size, num, den).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, size, num, den)
+
+
+def test_word_hashes_of_long_words_and_texts():
+    text = b"ab " * 100_000 + b"x" * 300_000 + b" AB"
+    got = jaccard.word_hashes(text)
+    assert len(got) == 100_002 and got[0] == got[-1] and len(set(got.tolist())) == 2
+
+
+def test_components_of_a_path(spark):
+    edges = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = components.components(edges).collect()
+    assert len(got) == 41 and {r.component for r in got} == {0}
+
+
+def test_remove_near_duplicates(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    kept = jaccard.remove_near_duplicates(docs_of(spark, [base, base, base + " more", "other text of its own here"])).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3] and kept[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_neighbours_recall_ties_and_unusable(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[100:120] = x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (None, x[1].tolist())]
+    got = neighbours.query(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        best = np.lexsort((np.arange(600), -np.round(s, 12)))[:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        hits += len({r.vec_id for r in mine} & set(best.tolist()))
+        assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in mine) and [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+    assert hits >= 0.9 * 60
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 50), key=lambda r: r["rank"])] == [100, 101, 102, 103, 104]
+    few = neighbours.query(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2)]
+
+
+def test_sharding_fits_limit(spark):
+    texts = ["x" * (i % 90) for i in range(400)] + ["y" * 5000]
+    got = sharding.assign(docs_of(spark, texts), 1000).collect()
+    assert len(got) == 401
+    sizes, ids = {}, {}
+    for r in got:
+        sizes[r.shard_id] = sizes.get(r.shard_id, 0) + r.n_bytes
+        ids.setdefault(r.shard_id, []).append(r)
+    assert all(r.shard_bytes == sizes[r.shard_id] and r.shard_docs == len(ids[r.shard_id]) for r in got)
+    assert all(b <= 1000 or len(ids[k]) == 1 for k, b in sizes.items())
+    same = spark.createDataFrame([(1, "z" * 300, None, None, None)] * 7 + [(1, "z" * 900, None, None, None)], DOCS)
+    paged = sharding.assign(same, 1000).groupBy("shard_id").agg(F.sum("n_bytes").alias("b"), F.max("shard_bytes").alias("s")).collect()
+    assert all(r.b == r.s <= 1000 for r in paged) and sum(r.b for r in paged) == 3000
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "u", "same"), (2, "u 2", "same"), (3, None, None), (4, "v", ""), (None, "w", "same"), (6, "v", "WARC/1.1\r\n\r\nWARC-Type: x\n\n é😀")]
+    got = {r.page_id: r for r in warc.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    assert all(got[i].payload_bytes == len((h or "").encode()) and got[i].payload_digest == sha(h) for i, _, h in rows)
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), None: ("revisit", 2), 6: ("response", None)}
+    assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_arc_versions_and_lengths():
+    for version in (1, 2):
+        content = warc.arc_file("n", version, "20200102030405", [(5, "http://a b", b"x\n\nhttp://fake 1 2 3 4\n"), (None, None, b"")])
+        got = list(warc.arc_records(b"\n" + content))
+        assert [h["URL"] for h, _ in got] == ["http://a%20b", "unknown:"] and got[0][1].endswith(b"fake 1 2 3 4\n")
+    assert warc.warc_date("1996") == "1996-01-01T00:00:00Z"
+
+
+def test_language_model(spark):
+    rng = random.Random(2)
+    stems = {"en": ["the", "thing", "with", "show"], "de": ["der", "schön", "über", "nicht"], "zz": ["қар", "жол", "мен"]}
+    rows = [(i, " ".join(rng.choice(stems[k]) for _ in range(12)), k, "s", 1) for i in range(300) for k in [list(stems)[i % 3]]]
+    got = langid.query(spark.createDataFrame([*rows, (900, "123 !", "en", "s", 1)], DOCS)).collect()
+    right = [r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out and r.doc_id < 900]
+    assert sum(right) >= 0.95 * len(right) and all(0 <= r.score <= 1 for r in got)
+    assert [(r.lang_pred, r.score) for r in got if r.doc_id == 900] == [("und", 0.0)]
+
+
+def test_ftrl_temperature_and_isotonic():
+    logits = np.array([[4.0, 0], [4.0, 0], [0, 4.0], [4.0, 0]])
+    assert langid.temperature(logits, np.array([0, 1, 1, 0])) > 2
+    x, y = quality.isotonic(np.arange(4.0), np.array([0, 1, 0, 1.0]), np.ones(4))
+    assert x.tolist() == [0, 1.5, 3] and y.tolist() == [0, 0.5, 1]
+
+
+def test_factorization_machine_learns_pairs():
+    """Neither term alone decides: the label is their product, which linear weights cannot fit."""
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(1500):
+        a, b = rng.random(2) < 0.5
+        noise = rng.integers(10, 60, 3)
+        rows.append(np.unique(np.concatenate((noise, [1] if a else [2], [3] if b else [4]))))
+        labels.append(float(a == b))
+    machine = toxicity.FactorizationMachine()
+    toxicity_share = toxicity.MOST_SHARE
+    toxicity.MOST_SHARE = 1.0
+    try:
+        machine.fit(rows, np.array(labels), epochs=40, l2=1e-4, rate=0.6)
+    finally:
+        toxicity.MOST_SHARE = toxicity_share
+    right = np.mean([(machine.score(r) > 0.5) == (y > 0.5) for r, y in zip(rows, labels, strict=True)])
+    assert right > 0.9
+
+
+def test_permutation_and_targets(spark):
+    for n in (1, 2, 7, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 90)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    # budget 2400; a and the null source (weight 5 each) stop at 20 and 180; b and c share 2200 by 2 to 1
+    assert {k: pytest.approx(v) for k, v in got.items()} == {"a": 20, None: 180, "b": 4400 / 3, "c": 2200 / 3}
+
+
+def test_mix_takes_near_targets(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 40)), "en", ["a", "b", None][i % 3], 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.query(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.query(docs).collect()))
+    source = {r[0]: r[3] for r in rows}
+    for s in ("a", "b", None):
+        own = [r for r in got if source[r.doc_id] == s]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.02)
+    assert all(r.taken <= 2 * r.size for r in got)
+    texts = mixing.mixed_texts(docs, block_words=16)
+    assert texts.columns == docs.columns
+    words = texts.agg(F.sum(mixing.count_words(F.col("text")))).first()[0]
+    assert words == pytest.approx(sum(r.taken for r in got), rel=0.02)
