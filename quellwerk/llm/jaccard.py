@@ -10,7 +10,9 @@ class of a shingle's list is compared with the list's smallest class only; what
 contracted. A second round compares what is left: classes of one list that are not connected yet.
 As 1 - Jaccard is a metric, the two similarities to the common class rule out most of those pairs
 without counting; the others are all counted, so no link between components is lost, and lists of
-thousands of copies never become all their pairs.
+thousands of copies never become all their pairs. A pair is counted only if its prefixes, a little
+longer than they need be, share several shingles: sharing one is often chance. The places of shared
+shingles bound the overlap too, which rules out copies that differ a little too much.
 
 Defined cases: words are runs of anything but ASCII white space, lower-cased over A-Z only; fewer
 words than a shingle are one shingle; without words, or with a null text, a document has an empty
@@ -36,38 +38,61 @@ from quellwerk.llm.components import components
 #: make the order less apt, never wrong.
 CELLS = 1 << 18
 FRAGMENTS = 8
-_SPACE = np.ones(256, bool)
-_SPACE[[32, *range(9, 14)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: A prefix is this much longer than it need be to share one shingle; in return pairs to be counted
+#: must share that many more. Both follow from the similarity, so no link is lost.
+SHARED = 6
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+#: Of each byte: whether it is part of a word, and its value in a hash (A-Z as a-z, spaces 0).
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, *range(9, 14)]] = False
+_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_VALUE[65:91] = _VALUE[97:123]
+_VALUE[~_INSIDE] = 0
+#: Multipliers of the words of a shingle by their places.
+_PLACE = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.multiply.accumulate(np.full(max(n - 1, 0), _ODD, np.uint64))
-    return out
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, base, np.uint64))))
 
 
-_POWER = _powers(1 << 12)
+_PIECE = 1 << 17
+_UP, _DOWN = _powers(_ODD, _PIECE + 1), _powers(_INVERSE, _PIECE + 1)
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word: differences of one running sum, moved to the word's start."""
+    inside = np.empty(len(raw) + 2, bool)
+    inside[0] = inside[-1] = False
+    _INSIDE.take(raw, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    running = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * _UP[: len(raw)], out=running[1:])
+    return (running[ends] - running[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, from its bytes and their places."""
+    """A 64-bit hash of each word. Long texts go in pieces that end between words; only a word
+    longer than a piece is hashed by itself, from the hashes of its parts."""
     raw = np.frombuffer(text, np.uint8)
-    inside = _SPACE[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    lengths = ends - starts
-    letters = _BYTE[_LOWER[raw[inside]]]
-    firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(len(letters)) - np.repeat(firsts, lengths)
-    longest = int(lengths.max())
-    power = _POWER if longest <= len(_POWER) else _powers(longest)
-    return mix64(np.add.reduceat(letters * power[place], firsts) + lengths.astype(np.uint64))
+    if len(raw) <= _PIECE:
+        return mix64(_hashes(raw))
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + _PIECE, len(raw))
+        while end < len(raw) and end > at and _INSIDE[raw[end - 1]]:
+            end -= 1
+        if end == at:  # one word fills the piece
+            rest = np.flatnonzero(~_INSIDE[raw[at:]])
+            end = at + int(rest[0]) if len(rest) else len(raw)
+            parts = np.array([_hashes(raw[i : min(i + _PIECE, end)])[0] for i in range(at, end, _PIECE)])
+            out.append(np.array([np.add.reduce(mix64(parts + np.arange(len(parts), dtype=np.uint64)))]))
+        else:
+            out.append(_hashes(raw[at:end]))
+        at = end
+    return mix64(np.concatenate(out))
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -76,10 +101,16 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     if not len(words):
         return words
     width = min(size, len(words))
-    out = np.full(len(words) - width + 1, np.uint64(width))
-    for k in range(width):
-        out = (out * _ODD) ^ mix64(words[k : k + len(out)] + np.uint64(k + 1))
-    return np.unique(mix64(out))
+    n = len(words) - width + 1
+    out = words[:n] * _PLACE[0]
+    for k in range(1, width):
+        out += words[k : k + n] * _PLACE[k % 64]
+    out = mix64(out + np.uint64(width))
+    out.sort()
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -133,7 +164,9 @@ def pivots(frequency: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, size: int, num: int, den: int, text_col: str, frequency) -> DataFrame:
-    """(h, cid, n): the prefix of every class. A task emits a class once, so copies add little."""
+    """(h, cid, size_at): the prefix of every class, size_at holding the size of the set in its upper
+    and the shingle's place in the order of the set in its lower half. A task emits a class once,
+    so copies add little."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = frequency.value, set()
@@ -144,24 +177,26 @@ def postings(docs: DataFrame, size: int, num: int, den: int, text_col: str, freq
                 if not len(own) or (cid := fingerprint(own)) in seen:
                     continue
                 seen.add(cid)
-                length = len(own) - -(-num * len(own) // den) + 1
+                least = -(-num * len(own) // den)
+                length = len(own) - least + min(SHARED, least)
                 heads.append(own[np.argsort(order_keys(own, order), kind="stable")[:length]])
                 ids.append(cid)
                 sizes.append(len(own))
             if heads:
                 each = [len(x) for x in heads]
-                yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(heads)), pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], ["h", "cid", "n"])
+                place = np.concatenate([np.arange(k) for k in each])
+                yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(heads)), pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array((np.repeat(np.array(sizes, np.int64), each) << 32) | place)], ["h", "cid", "size_at"])
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(emit, "h long, cid long, n long")
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(emit, "h long, cid long, size_at long")
 
 
-def segments(docs: DataFrame, wanted: DataFrame, size: int, text_col: str, frequency) -> DataFrame:
-    """(cid, f, hs): the sets of the wanted classes, cut into fragments of the global order.
+def segments(docs: DataFrame, pairs: DataFrame, size: int, text_col: str, frequency) -> DataFrame:
+    """(cid, f, hs): the sets of the classes in pairs, cut into fragments of the global order.
 
     Which classes are wanted reaches the tasks as a bit map of fixed size. Its false hits are
     rows too many, which the join with the pairs leaves out."""
     bits = 1 << 26
-    word = wanted.select(F.pmod("cid", F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).toArrow()
+    word = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.pmod("cid", F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).toArrow()
     marks = np.zeros(bits >> 6, np.int64)
     marks[word.column("w").to_numpy()] = word.column("v").to_numpy()
     marked = docs.sparkSession.sparkContext.broadcast(marks)
@@ -190,7 +225,7 @@ def segments(docs: DataFrame, wanted: DataFrame, size: int, text_col: str, frequ
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(parts, pa.int32()), hs], ["cid", "f", "hs"])
 
     rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(emit, "cid long, f int, hs array<long>")
-    return rows.groupBy("cid", "f").agg(F.first("hs").alias("hs"))
+    return materialise(rows.groupBy("cid", "f").agg(F.first("hs").alias("hs")), "segments")
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -201,6 +236,10 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("inter"))
 
 
+def _size_at(packed: str, size: str, at: str) -> list:
+    return [F.shiftright(packed, 32).alias(size), F.col(packed).bitwiseAND((1 << 32) - 1).alias(at)]
+
+
 def _paired(x, nx, y, ny):
     """Columns a < b of a pair, with their sizes."""
     first = x < y
@@ -214,22 +253,30 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     rows, counts = survey(docs, size, id_col, text_col)
     frequency = spark.sparkContext.broadcast(counts)
     of_shingle = Window.partitionBy("h")
-    lists = postings(docs, size, num, den, text_col, frequency).withColumn("_lead", F.min(F.struct("cid", "n")).over(of_shingle)).withColumn("_last", F.max("cid").over(of_shingle))
-    lists = lists.filter("_lead.cid <> _last").select("h", "cid", "n", F.col("_lead.cid").alias("lead"), F.col("_lead.n").alias("lead_n")).dropDuplicates(["h", "cid"])
+    lists = postings(docs, size, num, den, text_col, frequency).withColumn("_lead", F.min(F.struct("cid", "size_at")).over(of_shingle)).withColumn("_last", F.max("cid").over(of_shingle))
+    lists = lists.filter("_lead.cid <> _last").select("h", "cid", *_size_at("size_at", "n", "at"), F.col("_lead.cid").alias("lead"), *_size_at("_lead.size_at", "lead_n", "lead_at")).dropDuplicates(["h", "cid"])
     lists = materialise(lists, "postings")
 
-    alike = lambda n, m: den * F.least(n, m) >= num * F.greatest(n, m)
-    stars = lists.filter("cid <> lead").filter(alike(F.col("n"), F.col("lead_n"))).select(*_paired(F.col("cid"), F.col("n"), F.col("lead"), F.col("lead_n"))).distinct()
-    stars = materialise(stars, "pairs")
-    cut = materialise(segments(docs, lists.select("cid").distinct(), size, text_col, frequency), "segments")
+    def alike(n, at, m, at_m):
+        """Whether a shingle can be one of the first SHARED that two sets of these sizes share, at
+        these places, if the sets link: the places leave too little overlap otherwise."""
+        overlap = F.ceil(num * (n + m) / (num + den) - 1e-9)
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & (at <= n - overlap + SHARED - 1) & (at_m <= m - overlap + SHARED - 1)
+
+    shared = lambda n, m: F.least(F.lit(SHARED), F.ceil(num * F.least(n, m) / den))
+    stars = lists.filter("cid <> lead").filter(alike(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at")))
+    stars = stars.groupBy(*_paired(F.col("cid"), F.col("n"), F.col("lead"), F.col("lead_n"))).count()
+    stars = materialise(stars.filter(F.col("count") >= shared(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     linked = lambda t: t.filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
     edge = lambda t: linked(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    first = materialise(overlaps(stars, cut), "overlaps")
+    count = lambda pairs: materialise(overlaps(pairs, segments(docs, pairs, size, text_col, frequency)), "overlaps")
+    first = count(stars)
     groups = materialise(components(edge(first)), "components")
 
-    rest = materialise(_open_pairs(lists, first, groups, num, den, alike), "pairs")
+    rest = _open_pairs(lists, first, groups, num, den, alike)
+    rest = materialise(rest.filter(F.col("count") >= shared(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     if not rest.isEmpty():
-        second = materialise(edge(overlaps(rest, cut)), "links")
+        second = edge(count(rest))
         if not second.isEmpty():
             groups = components(edge(first).unionByName(second))
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
@@ -241,21 +288,21 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
 
 
 def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, num: int, den: int, alike) -> DataFrame:
-    """Pairs of one list that are not connected yet and that their distances to the list's common
-    class do not rule out. A distance that was not counted lies between the bound that the sizes
-    give and 1."""
+    """Pairs that are not connected yet, with the count of the lists they share, as far as their
+    distances to a list's smallest class do not rule them out there. A distance that was not
+    counted lies between the bound that the sizes give and 1."""
     near = first.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
     open_ = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     of_shingle = Window.partitionBy("h")
-    open_ = open_.withColumn("_lo", F.min("component").over(of_shingle)).withColumn("_hi", F.max("component").over(of_shingle)).filter("_lo <> _hi and cid <> lead").drop("_lo", "_hi")
+    open_ = open_.withColumn("_lo", F.min("component").over(of_shingle)).withColumn("_hi", F.max("component").over(of_shingle)).filter("_lo <> _hi").drop("_lo", "_hi")
     open_ = open_.withColumn("a", F.least("cid", "lead")).withColumn("b", F.greatest("cid", "lead")).join(near, ["a", "b"], "left")
     bound = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
-    open_ = materialise(open_.select("h", "cid", "n", "component", F.coalesce("d", bound).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi")), "open")
+    open_ = materialise(open_.select("h", "cid", "n", "at", "component", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
     x, y = open_.alias("x"), open_.alias("y")
     c = F.col
     slack = 1 - num / den + 1e-9
-    keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(c("x.n"), c("y.n")) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack)
-    pairs = x.join(y, (c("x.h") == c("y.h")) & keep).select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).distinct()
+    keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(c("x.n"), c("x.at"), c("y.n"), c("y.at")) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack)
+    pairs = x.join(y, (c("x.h") == c("y.h")) & keep).select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).groupBy("a", "b", "na", "nb").count()
     return pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
 
 
