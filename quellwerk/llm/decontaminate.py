@@ -13,7 +13,6 @@ alike. Other columns pass through; where they clash with the new ones, the new o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
