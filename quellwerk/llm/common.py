@@ -52,7 +52,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, since single texts and archives may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
