@@ -6,13 +6,15 @@ counted in each fragment separately and summed per pair.
 
 Pairs to count come from prefixes: two sets of the wanted similarity share one of their rarest
 shingles. Documents of equal sets are one class and are compared once. In a first round every
-class of a shingle's list is compared with the list's smallest class only; what that links is
-contracted. A second round compares what is left: classes of one list that are not connected yet.
+class of a shingle's list is compared with one of the list only, the one with fewest shingles that
+no other class has, which lies in the midst of a group of copies; what that links is contracted. A second round compares what is left: classes of one list that are not connected yet.
 As 1 - Jaccard is a metric, the two similarities to the common class rule out most of those pairs
 without counting; the others are all counted, so no link between components is lost, and lists of
 thousands of copies never become all their pairs. A pair is counted only if its prefixes, a little
 longer than they need be, share several shingles: sharing one is often chance. The places of shared
-shingles bound the overlap too, which rules out copies that differ a little too much.
+shingles bound the overlap too, and so do the shingles before them that no other prefix holds: a
+linked set would hold such a shingle in its prefix, if at all. That rules out copies that differ a
+little too much.
 
 Defined cases: words are runs of anything but ASCII white space, lower-cased over A-Z only; fewer
 words than a shingle are one shingle; without words, or with a null text, a document has an empty
@@ -253,18 +255,26 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     rows, counts = survey(docs, size, id_col, text_col)
     frequency = spark.sparkContext.broadcast(counts)
     of_shingle = Window.partitionBy("h")
-    lists = postings(docs, size, num, den, text_col, frequency).withColumn("_lead", F.min(F.struct("cid", "size_at")).over(of_shingle)).withColumn("_last", F.max("cid").over(of_shingle))
-    lists = lists.filter("_lead.cid <> _last").select("h", "cid", *_size_at("size_at", "n", "at"), F.col("_lead.cid").alias("lead"), *_size_at("_lead.size_at", "lead_n", "lead_at")).dropDuplicates(["h", "cid"])
+    lists = postings(docs, size, num, den, text_col, frequency).withColumn("_low", F.min("cid").over(of_shingle)).withColumn("_high", F.max("cid").over(of_shingle))
+    lists = lists.filter("_low <> _high").select("h", "cid", *_size_at("size_at", "n", "at")).dropDuplicates(["h", "cid"])
+    # Places of a prefix that are in no list hold shingles of that class alone.
+    of_class = Window.partitionBy("cid")
+    lists = lists.withColumn("lone", F.col("at") - F.row_number().over(of_class.orderBy("at")) + 1).withColumn("_odd", F.max("lone").over(of_class))
+    lists = lists.filter(F.col("lone") <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
+    lists = lists.withColumn("_lead", F.min(F.struct("_odd", "cid", "n", "at", "lone")).over(of_shingle))
+    lists = lists.select("h", "cid", "n", "at", "lone", F.col("_lead.cid").alias("lead"), *[F.col(f"_lead.{k}").alias(f"lead_{k}") for k in ("n", "at", "lone")])
     lists = materialise(lists, "postings")
 
-    def alike(n, at, m, at_m):
+    def alike(n, at, lone, m, at_m, lone_m):
         """Whether a shingle can be one of the first SHARED that two sets of these sizes share, at
-        these places, if the sets link: the places leave too little overlap otherwise."""
+        these places, if the sets link: the places, or the lone shingles before them, leave too
+        little overlap otherwise."""
         overlap = F.ceil(num * (n + m) / (num + den) - 1e-9)
-        return (den * F.least(n, m) >= num * F.greatest(n, m)) & (at <= n - overlap + SHARED - 1) & (at_m <= m - overlap + SHARED - 1)
+        placed = (at <= n - overlap + SHARED - 1) & (at_m <= m - overlap + SHARED - 1)
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & placed & (lone <= n - overlap) & (lone_m <= m - overlap)
 
     shared = lambda n, m: F.least(F.lit(SHARED), F.ceil(num * F.least(n, m) / den))
-    stars = lists.filter("cid <> lead").filter(alike(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at")))
+    stars = lists.filter("cid <> lead").filter(alike(*map(F.col, ("n", "at", "lone", "lead_n", "lead_at", "lead_lone"))))
     stars = stars.groupBy(*_paired(F.col("cid"), F.col("n"), F.col("lead"), F.col("lead_n"))).count()
     stars = materialise(stars.filter(F.col("count") >= shared(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     linked = lambda t: t.filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
@@ -289,7 +299,7 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
 
 def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, num: int, den: int, alike) -> DataFrame:
     """Pairs that are not connected yet, with the count of the lists they share, as far as their
-    distances to a list's smallest class do not rule them out there. A distance that was not
+    distances to the list's leading class do not rule them out there. A distance that was not
     counted lies between the bound that the sizes give and 1."""
     near = first.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
     open_ = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -297,11 +307,11 @@ def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, num: int,
     open_ = open_.withColumn("_lo", F.min("component").over(of_shingle)).withColumn("_hi", F.max("component").over(of_shingle)).filter("_lo <> _hi").drop("_lo", "_hi")
     open_ = open_.withColumn("a", F.least("cid", "lead")).withColumn("b", F.greatest("cid", "lead")).join(near, ["a", "b"], "left")
     bound = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
-    open_ = materialise(open_.select("h", "cid", "n", "at", "component", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
+    open_ = materialise(open_.select("h", "cid", "n", "at", "lone", "component", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
     x, y = open_.alias("x"), open_.alias("y")
     c = F.col
     slack = 1 - num / den + 1e-9
-    keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(c("x.n"), c("x.at"), c("y.n"), c("y.at")) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack)
+    keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(*[c(f"{t}.{k}") for t in "xy" for k in ("n", "at", "lone")]) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack)
     pairs = x.join(y, (c("x.h") == c("y.h")) & keep).select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).groupBy("a", "b", "na", "nb").count()
     return pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
 
