@@ -13,8 +13,9 @@ without counting; the others are all counted, so no link between components is l
 thousands of copies never become all their pairs. A pair is counted only if its prefixes, a little
 longer than they need be, share several shingles: sharing one is often chance. The places of shared
 shingles bound the overlap too, and so do the shingles before them that no other prefix holds: a
-linked set would hold such a shingle in its prefix, if at all. That rules out copies that differ a
-little too much.
+linked set would hold such a shingle in its prefix, if at all. Last, the second round compares parity
+sketches of the whole sets, of fixed size: every shingle flips one bit, so two sketches differ in no
+more bits than the sets do in shingles. That rules out copies that differ a little too much.
 
 Defined cases: words are runs of anything but ASCII white space, lower-cased over A-Z only; fewer
 words than a shingle are one shingle; without words, or with a null text, a document has an empty
@@ -43,6 +44,8 @@ FRAGMENTS = 8
 #: A prefix is this much longer than it need be to share one shingle; in return pairs to be counted
 #: must share that many more. Both follow from the similarity, so no link is lost.
 SHARED = 6
+#: Bits of a parity sketch. More tell longer sets apart; fewer only rule out less.
+SKETCH = 512
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: Of each byte: whether it is part of a word, and its value in a hash (A-Z as a-z, spaces 0).
@@ -121,13 +124,20 @@ def fingerprint(own: np.ndarray) -> int:
     return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity, for each of SKETCH cells, of the number of members that fall into it."""
+    cell = ((own >> np.uint64(18)) & np.uint64(SKETCH - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def _as_long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
 def survey(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts. The documents as (doc_id, cid, n): their class, null if the set is
-    empty, and the size of the set; and how often the shingles of each cell occur in them all."""
+    """One pass over the texts. The documents as (doc_id, cid, n, sketch): their class, null if the
+    set is empty, the size of the set and its parity sketch; and how often the shingles of each cell
+    occur in them all."""
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = pa.int64() if dict(plain.dtypes)["doc_id"] == "bigint" else None
 
@@ -137,15 +147,17 @@ def survey(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Data
             sets = [shingles(text.as_py(), size) for text in binary(batch.column("text"))]
             cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if sets else 0
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            words = SKETCH // 64
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *map(sketch, sets)])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sketches, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         chunk, values = array_rows(cells, np.uint32)
         n = len(chunk)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(chunk, pa.int32()), pa.array(values, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(chunk, pa.int32()), pa.array(values, pa.binary())], names)
 
-    names = ["doc_id", "cid", "n", "chunk", "cells"]
-    both = materialise(plain.mapInArrow(read, "doc_id long, cid long, n long, chunk int, cells binary"), "sets")
+    names = ["doc_id", "cid", "n", "sketch", "chunk", "cells"]
+    both = materialise(plain.mapInArrow(read, "doc_id long, cid long, n long, sketch array<long>, chunk int, cells binary"), "sets")
     frequency = summed(both.filter("chunk is not null"), CELLS, np.uint32)
-    return both.filter("chunk is null").select("doc_id", "cid", "n"), np.minimum(frequency, (1 << 24) - 1).astype(np.uint32)
+    return both.filter("chunk is null").select("doc_id", "cid", "n", "sketch"), np.minimum(frequency, (1 << 24) - 1).astype(np.uint32)
 
 
 def order_keys(own: np.ndarray, frequency: np.ndarray) -> np.ndarray:
@@ -283,7 +295,8 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     first = count(stars)
     groups = materialise(components(edge(first)), "components")
 
-    rest = _open_pairs(lists, first, groups, num, den, alike)
+    sketches = rows.filter("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"))
+    rest = _open_pairs(lists, first, groups, sketches, num, den, alike)
     rest = materialise(rest.filter(F.col("count") >= shared(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     if not rest.isEmpty():
         second = edge(count(rest))
@@ -297,21 +310,25 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, num: int, den: int, alike) -> DataFrame:
+def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, sketches: DataFrame, num: int, den: int, alike) -> DataFrame:
     """Pairs that are not connected yet, with the count of the lists they share, as far as their
-    distances to the list's leading class do not rule them out there. A distance that was not
-    counted lies between the bound that the sizes give and 1."""
+    distances to the list's leading class or their sketches do not rule them out there. A distance
+    that was not counted lies between the bound that the sizes give and 1."""
     near = first.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
     open_ = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     of_shingle = Window.partitionBy("h")
     open_ = open_.withColumn("_lo", F.min("component").over(of_shingle)).withColumn("_hi", F.max("component").over(of_shingle)).filter("_lo <> _hi").drop("_lo", "_hi")
     open_ = open_.withColumn("a", F.least("cid", "lead")).withColumn("b", F.greatest("cid", "lead")).join(near, ["a", "b"], "left")
     bound = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
-    open_ = materialise(open_.select("h", "cid", "n", "at", "lone", "component", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
+    open_ = open_.join(sketches, "cid")
+    open_ = materialise(open_.select("h", "cid", "n", "at", "lone", "sketch", "component", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
     x, y = open_.alias("x"), open_.alias("y")
     c = F.col
     slack = 1 - num / den + 1e-9
-    keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(*[c(f"{t}.{k}") for t in "xy" for k in ("n", "at", "lone")]) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack)
+    total = c("x.n") + c("y.n")
+    apart = sum((F.bit_count(c("x.sketch")[i].bitwiseXOR(c("y.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    near_enough = apart <= total - 2 * F.ceil(num * total / (num + den) - 1e-9)
+    keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(*[c(f"{t}.{k}") for t in "xy" for k in ("n", "at", "lone")]) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack) & near_enough
     pairs = x.join(y, (c("x.h") == c("y.h")) & keep).select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).groupBy("a", "b", "na", "nb").count()
     return pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
 

@@ -234,3 +234,14 @@ def test_mix_takes_near_targets(spark):
     assert texts.columns == docs.columns
     words = texts.agg(F.sum(mixing.count_words(F.col("text")))).first()[0]
     assert words == pytest.approx(sum(r.taken for r in got), rel=0.02)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sketches_differ_in_no_more_bits_than_sets_do_in_members(seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for n, edits in ((0, 3), (5, 2), (150, 24), (2500, 400)):
+        left, right = pool[:n], pool[edits : n + edits]
+        apart = len(np.setxor1d(left, right))
+        bits = sum(int(x).bit_count() for x in jaccard.sketch(left).view(np.uint64) ^ jaccard.sketch(right).view(np.uint64))
+        assert bits <= apart and bits % 2 == apart % 2
