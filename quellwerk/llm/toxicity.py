@@ -2,7 +2,9 @@
 
 A text is the set of its terms, hashed to a fixed number of cells. The machine scores single terms
 by weights and pairs of terms by the products of their factors, so that a pair may count where its
-members alone do not. It is fitted by adaptive gradient steps on a bounded sample of labelled rows.
+members alone do not. How often a term goes with the label is counted over all labelled rows; the
+machine is then fitted by adaptive gradient steps on a bounded sample of them, in which the weight of
+a term moves the more, the stronger and the surer that association is.
 
 Defined cases: terms are runs of digits, letters and non-ASCII, lower-cased over A-Z; a null or
 empty text has no terms and gets the bias alone; labels of a repeated id are averaged, null labels
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quellwerk.llm.common import binary, remainder, small_batches
+from quellwerk.llm.common import array_rows, binary, broadcast_if_small, materialise, remainder, small_batches, summed
 from quellwerk.llm.decontaminate import _FOLD
 from quellwerk.llm.jaccard import word_hashes
 
@@ -28,12 +30,14 @@ CELLS = 1 << 18
 FACTORS = 8
 #: Labelled rows in the sample that fits the machine, on average at most.
 SAMPLE = 12_000
-#: Terms of fewer sampled documents, or of a smaller share of them, keep weight 0: they are mostly
-#: chance.
+#: Terms of fewer labelled rows keep weight 0: they are mostly chance.
 LEAST_DOCS = 4
-LEAST_SHARE = 0.004
+#: The likelihood ratio statistic at which half of a term's association with the label counts.
+EVIDENCE = 12.0
 #: Terms of a larger share are function words, which only add noise.
 MOST_SHARE = 0.15
+#: With fewer sampled rows none are held back.
+LEAST_HELD = 140
 
 
 def terms(text: bytes) -> np.ndarray:
@@ -41,6 +45,33 @@ def terms(text: bytes) -> np.ndarray:
     return np.unique((word_hashes(text.translate(_FOLD)) >> np.uint64(46)).astype(np.int64))
 
 
+class Counts:
+    """Rows that hold each cell and the sum of their labels, and both for all rows."""
+
+    def __init__(self, found: np.ndarray, marked: np.ndarray, total: float, positive: float):
+        self.found, self.marked, self.total, self.positive = found, marked, total, positive
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], labels: np.ndarray, cells: int) -> Counts:
+        held = np.concatenate([*rows, np.empty(0, np.int64)])
+        return cls(np.bincount(held, minlength=cells), np.bincount(held, np.repeat(labels, [len(r) for r in rows]), cells), len(rows), float(labels.sum()))
+
+    def association(self) -> np.ndarray:
+        """The size of each cell's log odds ratio, shrunk by how likely chance gives as much."""
+        n, k, total, positive = self.found.astype(float), self.marked, self.total, self.positive
+        if not 0 < positive < total:
+            return np.zeros(len(n))
+        p = positive / total
+
+        def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+            seen = np.maximum(seen, 0)
+            return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0)
+
+        g2 = np.maximum(2 * (part(k, n * p) + part(n - k, n * (1 - p)) + part(positive - k, (total - n) * p) + part(total - n - positive + k, (total - n) * (1 - p))), 0)
+        ratio = np.log((k + p) / (np.maximum(n - k, 0) + 1 - p)) - np.log(p / (1 - p))
+        return np.abs(ratio) * g2 / (g2 + EVIDENCE)
+
+
 class FactorizationMachine:
     def __init__(self, cells: int = CELLS, factors: int = FACTORS, seed: int = 11):
         self.bias, self.w = 0.0, np.zeros(cells, np.float32)
@@ -52,53 +83,58 @@ class FactorizationMachine:
         sums = v.sum(0, dtype=np.float64)
         return float(self.bias + self.w[cells].sum(dtype=np.float64) + 0.5 * (sums @ sums - (v * v).sum(dtype=np.float64)))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.12, l2: float = 0.05) -> None:
-        """Mini-batch AdaGrad on the logistic loss, over the terms of at least LEAST_DOCS rows and
-        LEAST_SHARE of all. Every seventh row is held back to choose the best epoch; where the
-        rows are too few for that, the last one stands."""
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.12, l2: float = 0.05, held: np.ndarray | None = None, counts: Counts | None = None) -> None:
+        """Mini-batch AdaGrad on the logistic loss, over the terms of at least LEAST_DOCS of the
+        counted rows; counts are of the rows themselves if none are given. The held rows (every
+        seventh by default, none if there are few) choose the best epoch and must not be counted;
+        where none are held, the last epoch stands."""
         rng = np.random.default_rng(self.seed)
-        found = np.bincount(np.concatenate(rows), minlength=len(self.w))
-        often = (found >= max(LEAST_DOCS, LEAST_SHARE * len(rows))) & (found <= MOST_SHARE * len(rows))
-        rows = [r[often[r]] for r in rows]
-        held = np.arange(len(rows)) % 7 == 6 if len(rows) >= 140 else np.zeros(len(rows), bool)
+        if held is None:
+            held = np.arange(len(rows)) % 7 == 6 if len(rows) >= LEAST_HELD else np.zeros(len(rows), bool)
         learned, judged = np.flatnonzero(~held), np.flatnonzero(held)
+        counts = counts or Counts.of([rows[i] for i in learned], labels[learned], len(self.w))
+        often = (counts.found >= LEAST_DOCS) & (counts.found <= MOST_SHARE * counts.total)
+        rows = [r[often[r]] for r in rows]
         self.v[often] = rng.normal(0, 0.02, (int(often.sum()), self.v.shape[1]))
         mean = float(np.clip(labels.mean(), 0.01, 0.99))
         self.bias = float(np.log(mean / (1 - mean)))
+        # A term's weight is free times scale; the penalty is on free.
+        scale, free = (counts.association() * often).astype(np.float32), np.zeros_like(self.w)
         sum_w, sum_v = np.full(len(self.w), 5.0, np.float32), np.full(self.v.shape, 5.0, np.float32)
         best = (np.inf, self.bias, self.w, self.v)
         for _ in range(epochs):
             order = rng.permutation(learned)
             for at in range(0, len(order), batch):
-                self._step([rows[i] for i in order[at : at + batch]], labels[order[at : at + batch]], rate, l2, sum_w, sum_v)
+                self._step([rows[i] for i in order[at : at + batch]], labels[order[at : at + batch]], rate, l2, scale, free, sum_w, sum_v)
+            self.w = free * scale
             if len(judged):
                 p = np.array([self.score(rows[i]) for i in judged])
                 loss = -float(np.where(labels[judged] > 0.5, np.log(p + 1e-9), np.log(1 - p + 1e-9)).mean())
                 if loss < best[0]:
-                    best = (loss, self.bias, self.w.copy(), self.v.copy())
+                    best = (loss, self.bias, self.w, self.v.copy())
         if len(judged):
             _, self.bias, self.w, self.v = best
 
-    def _step(self, rows: list[np.ndarray], labels: np.ndarray, rate: float, l2: float, sum_w: np.ndarray, sum_v: np.ndarray) -> None:
+    def _step(self, rows: list[np.ndarray], labels: np.ndarray, rate: float, l2: float, scale: np.ndarray, free: np.ndarray, sum_w: np.ndarray, sum_v: np.ndarray) -> None:
         sizes = np.array([len(r) for r in rows])
         cells, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
         if not len(cells):
             return
-        v = self.v[cells]
+        v, x = self.v[cells], scale[cells]
         full = np.flatnonzero(sizes)
         sums = np.zeros((len(rows), v.shape[1]), np.float32)
         sums[full] = np.add.reduceat(v, (np.cumsum(sizes) - sizes)[full])
         squares = np.bincount(row, (v * v).sum(1), len(rows))
-        z = self.bias + np.bincount(row, self.w[cells], len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
+        z = self.bias + np.bincount(row, free[cells] * x, len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels).astype(np.float32)
         by_cell = np.argsort(cells, kind="stable")
         used, first = np.unique(cells[by_cell], return_index=True)
         each = g[row]
-        gw = np.add.reduceat(each[by_cell], first) + l2 * self.w[used]
+        gw = np.add.reduceat((each * x)[by_cell], first) + l2 * free[used]
         gv = np.add.reduceat((each[:, None] * (sums[row] - v))[by_cell], first) + l2 * self.v[used]
         sum_w[used] += gw**2
         sum_v[used] += gv**2
-        self.w[used] -= rate * gw / np.sqrt(sum_w[used])
+        free[used] -= rate * gw / np.sqrt(sum_w[used])
         self.v[used] -= 0.1 * rate * gv / np.sqrt(sum_v[used])
         self.bias -= 0.02 * rate * float(g.mean())
 
@@ -107,25 +143,47 @@ class FactorizationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, seed: int = 11) -> FactorizationMachine | None:
-    """Fits the machine to labels (doc_id and label). The sampled labels, bounded by sample, are
-    broadcast to find their texts in one pass; without labels there is no machine."""
+    """Fits the machine to labels (doc_id and label). One pass over the labelled texts counts their
+    terms and gathers those of the sample; without labels there is no machine."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
     total = known.count()
     if not total:
         return None
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30)))
-    plain = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
+    held = chosen & (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(7)) == 6) & F.lit(min(total, sample) >= LEAST_HELD)
+    known = known.select("doc_id", "y", chosen.alias("chosen"), held.alias("held"))
+    plain = docs.select("doc_id", "text").join(broadcast_if_small(known, 80), "doc_id").select("doc_id", "text", "y", "chosen", "held")
+    names = ["doc_id", "y", "held", "terms", "chunk", "cells"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows with each cell, sums of their labels, and at the end both for all rows.
+        counts = np.zeros(2 * CELLS + 2)
         for batch in batches:
-            found = [terms(t.as_py()).astype(np.int32).tobytes() for t in binary(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "cells"])
-
-    rows = sorted(plain.mapInArrow(read, "doc_id long, y double, cells binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["cells"]))
+            kept = []
+            for doc_id, text, y, use, out in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), batch.column("y").to_pylist(), batch.column("chosen").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                found = terms(text.as_py())
+                if not out:
+                    counts[found] += 1
+                    counts[CELLS + found] += y
+                    counts[-2:] += 1, y
+                if use:
+                    kept.append((doc_id, y, out, found.astype(np.int32).tobytes()))
+            if kept:
+                n, columns = len(kept), list(zip(*kept, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        if counts[-2]:
+            chunk, cells = array_rows(counts, np.float32)
+            n = len(chunk)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(chunk, pa.int32()), pa.array(cells, pa.binary())], names)
+
+    both = materialise(plain.mapInArrow(read, "doc_id long, y double, held boolean, terms binary, chunk int, cells binary"), "toxicity")
+    counts = summed(both.filter("chunk is not null"), 2 * CELLS + 2, np.float32)
+    rows = sorted(both.filter("chunk is null").select("doc_id", "y", "held", "terms").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["terms"]))
     if not rows:
         return None
     machine = FactorizationMachine(seed=seed)
-    machine.fit([np.frombuffer(r["cells"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows]))
+    found = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows]
+    machine.fit(found, np.array([r["y"] for r in rows]), held=np.array([r["held"] for r in rows]), counts=Counts(counts[:CELLS], counts[CELLS:-2], counts[-2], counts[-1]))
     return machine
 
 

@@ -211,6 +211,20 @@ def test_factorization_machine_learns_pairs():
     assert right > 0.9
 
 
+def test_toxic_words_of_a_small_language_are_learnt(spark):
+    """A word in 8 of some 3000 rows, which are the toxic ones of a language of 40."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        small, toxic = i % 75 == 0, i % 10 == 0 and i % 75 != 0 or i % 375 == 0
+        words = [f"{'x' if small else 'y'}{rng.randrange(400)}" for _ in range(30)]
+        rows.append((i, " ".join(words + ["zbad" if small else "bad"] * toxic), int(toxic)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels)
+    score = lambda word: machine.score(toxicity.terms(f"x1 x2 x3 {word}".encode()))
+    assert score("zbad") >= toxicity.LEAST_SCORE > score("x4")
+
+
 def test_permutation_and_targets(spark):
     for n in (1, 2, 7, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
