@@ -6,6 +6,10 @@ letters counting as a space, hashed to a fixed number of cells; a cell's value i
 text's n-grams times its inverse document frequency. Document frequencies come from all learning
 documents, the weights from a bounded sample of them.
 
+The best language's probability compares languages only, and is high for a text in none of them. That
+a text is in its language at all is told by its n-grams: they must not be much rarer in the learning
+documents than those of the language's sampled documents are.
+
 Defined cases: a null text or one without letters is "und" with score 0; without learning documents
 everything is; languages tie-break by code point; documents without id belong to the remainder of
 the empty text; repeated rows are predicted alike, each in its own row; other columns are not read.
@@ -30,6 +34,10 @@ SAMPLE = 6000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Values of a text's features sum to about this.
 SCALE = 30.0
+#: A text is in none of the languages if its n-grams are on average rarer than usual by this much in
+#: logarithms, and by so many standard errors. A letter is in about three n-grams, so their number
+#: counts for a third.
+RARER, ERRORS, OVERLAP = 1.0, 4.0, 3
 
 
 @functools.cache
@@ -93,18 +101,29 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 class Model:
-    """Languages, a table of idf times weight per cell, the bias and the temperature."""
+    """Languages, a table of idf times weight per cell, the bias, the temperature, the idf per cell,
+    and per language its documents' usual mean idf and the spread of their n-grams around it."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, heat: float):
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, heat: float, idf: np.ndarray | None = None, usual: np.ndarray | None = None, spread: np.ndarray | None = None):
         self.langs, self.table, self.bias, self.heat = langs, table, bias, heat
+        self.idf, self.usual, self.spread = idf, usual, spread
+
+    def foreign(self, found: np.ndarray, k: int) -> bool:
+        """Whether the n-grams are too rare for a text in language k. A language without sampled
+        documents takes all."""
+        least = self.usual[k] + RARER + ERRORS * self.spread[k] / np.sqrt(len(found) / OVERLAP)
+        return bool(self.idf.take(found).mean(dtype=np.float64) > least)
 
-    def predict(self, text: bytes) -> tuple[str, float]:
+    def predict(self, text: bytes, known: bool = False) -> tuple[str, float]:
+        """The language and its probability; with known, texts in none of the languages are "und"."""
         found = grams(text)
         if not len(found) or not self.langs:
             return "und", 0.0
         logits = (self.table.take(found, 0).mean(0, dtype=np.float64) * SCALE + self.bias) / self.heat
         p = np.exp(logits - logits.max())
         k = int(p.argmax())
+        if known and self.foreign(found, k):
+            return "und", 0.0
         return self.langs[k], float(p[k] / p.sum())
 
 
@@ -146,10 +165,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 7)
     idf = np.log((1 + total) / (1 + frequency)) + 1
     rows = sorted(both.filter("chunk is null").select("key", "lang", "cell", "share").toArrow().to_pylist(), key=lambda r: (r["key"], r["lang"]))
     number = {lang: k for k, lang in enumerate(langs)}
-    data = []
+    data, means, squares = [], [[] for _ in langs], [[] for _ in langs]
     for r in rows:
         cells = np.frombuffer(r["cell"], np.uint16).astype(np.int64)
-        data.append((cells, np.frombuffer(r["share"], np.float32) * idf[cells] * SCALE, number[r["lang"]]))
+        share, k = np.frombuffer(r["share"], np.float32), number[r["lang"]]
+        data.append((cells, share * idf[cells] * SCALE, k))
+        means[k].append(float(share @ idf[cells]))
+        squares[k].append(float(share @ (idf[cells] - means[k][-1]) ** 2))
+    # Medians, so that some documents with a wrong language do not count.
+    usual = np.array([np.median(m) if m else np.inf for m in means])
+    spread = np.array([np.sqrt(np.median(s)) if s else 0.0 for s in squares])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     held, learned = order[: len(order) // 5], order[len(order) // 5 :]
@@ -160,11 +185,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 7)
     w = ftrl.weights()
     logits = np.array([(w[c] * v[:, None]).sum(0) + w[-1] for c, v, _ in (data[i] for i in held)]).reshape(-1, len(langs))
     heat = temperature(logits, np.array([data[i][2] for i in held], int)) if len(held) >= 20 else 1.0
-    return Model(langs, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], heat)
+    return Model(langs, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], heat, idf.astype(np.float32), usual, spread)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (all by default) with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, known: bool = False) -> DataFrame:
+    """The carried columns (all by default) with lang_pred and score; with known, texts in none of
+    the model's languages are "und"."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_text"))
@@ -173,20 +199,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in binary(batch.column("_text"))]
+            found = [shared.value.predict(t.as_py(), known) for t in binary(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
     return plain.mapInArrow(apply, schema).toDF(*keep, "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
+def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents in an identifiable language, with their own columns. Texts without letters
-    go, and texts for which the best language's calibrated probability is below min_score."""
+    go, and texts in none of the learned languages, whatever their number."""
     small_batches(docs.sparkSession)
     model = train(docs)
     probe = docs.select(F.struct("*").alias("row"), F.col("text").alias("_probe"))
-    return predict(probe, model, "_probe", carry=["row"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    return predict(probe, model, "_probe", carry=["row"], known=True).filter(F.col("lang_pred") != "und").select("row.*")
 
 
 HELD_OUT = (3, 1)

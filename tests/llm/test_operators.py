@@ -184,6 +184,18 @@ def test_language_model(spark):
     assert [(r.lang_pred, r.score) for r in got if r.doc_id == 900] == [("und", 0.0)]
 
 
+@pytest.mark.parametrize("langs", [1, 2, 7])
+def test_texts_in_no_learned_language_go(spark, langs):
+    rng = random.Random(4)
+    stems = [["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 7))) for _ in range(40)] for _ in range(langs)]
+    rows = [(i, " ".join(rng.choice(stems[i % langs]) for _ in range(rng.choice([2, 12, 60]))), f"l{i % langs}", "s", 1) for i in range(700)]
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(200))
+    planted = ["人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心", "Все люди рождаются свободными и равными в своем достоинстве", noise]
+    odd = [(900 + i, t, "l0", "s", 1) for i, t in enumerate(planted)]
+    kept = langid.keep_identified(spark.createDataFrame([*rows, *odd], DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(700))
+
+
 def test_ftrl_temperature_and_isotonic():
     logits = np.array([[4.0, 0], [4.0, 0], [0, 4.0], [4.0, 0]])
     assert langid.temperature(logits, np.array([0, 1, 1, 0])) > 2
