@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: NN-descent and greedy graph search.
 
 Equal vectors are one node, known by its smallest ids. A graph that joins every node with its
-nearest in random-projection blocks is refined in rounds: each round joins neighbours of neighbours
+nearest in random-projection blocks, and in blocks dealt by chance, is refined in rounds: each round joins neighbours of neighbours
 and keeps the closer ones. A query walks the graph from its own node: in each round the nodes of
 its beam that were not looked at yet bring in their neighbours, until nothing closer comes.
 
@@ -70,7 +70,10 @@ def _best(nodes: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def _blocks(nodes: DataFrame, tree: int, count: int) -> DataFrame:
     """(node, near, score): the nearest within blocks of about BLOCK nodes. A block is a sign
-    pattern of random projections, ordered along one more; its rows are cut into pieces of BLOCK."""
+    pattern of random projections, ordered along one more; a larger one is cut into even pieces.
+
+    The last tree deals its blocks by chance, so that nodes that are alone in their sign patterns,
+    as outliers of vectors that are not centred may be in all trees, start with neighbours too."""
     bits = max(0, (max(count // BLOCK, 1) - 1).bit_length())
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +84,13 @@ def _blocks(nodes: DataFrame, tree: int, count: int) -> DataFrame:
                 code = ((p[:, :bits] > 0) << np.arange(bits)).sum(1).astype(np.int64) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vec"), pa.array(code), pa.array(p[:, bits].astype(np.float64))], ["node", "vec", "code", "along"])
 
-    coded = nodes.mapInArrow(project, "node long, vec binary, code long, along double")
+    if tree == TREES:
+        coded = nodes.select("node", "vec", F.pmod(F.xxhash64(F.lit(1000 + tree), "node"), F.lit(1 << bits)).alias("code"), F.lit(0.0).alias("along"))
+    else:
+        coded = nodes.mapInArrow(project, "node long, vec binary, code long, along double")
     at = Window.partitionBy("code").orderBy("along", "node")
-    pieces = coded.withColumn("piece", F.floor((F.row_number().over(at) - 1) / (2 * BLOCK)))
+    size = F.count(F.lit(1)).over(Window.partitionBy("code"))
+    pieces = coded.withColumn("piece", F.floor((F.row_number().over(at) - 1) * F.ceil(size / (2 * BLOCK)) / size))
     groups = pieces.groupBy("code", "piece").agg(F.collect_list(F.struct("node", "vec")).alias("rows"))
     return groups.select("rows").mapInArrow(_join_all, "node long, near long, score float")
 
@@ -142,7 +149,7 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Reverse neighbours of a hub are dealt to several local joins of GATHER rows; none is dropped."""
     count = nodes.count()
     start = None
-    for tree in range(TREES):
+    for tree in range(TREES + 1):
         block = _blocks(nodes, tree, count)
         start = block if start is None else start.unionByName(block)
     graph = materialise(_keep(start.withColumn("fresh", F.lit(1))), "graph")

@@ -142,6 +142,21 @@ def test_neighbours_recall_ties_and_unusable(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_far_outliers_have_neighbours(spark):
+    """Row 50 is opposite to a narrow cone, and so alone in every sign pattern."""
+    rng = np.random.default_rng(8)
+    axis = np.ones(16)
+    x = axis + rng.normal(size=(1500, 16)) * 0.02
+    x[50] = -axis + rng.normal(size=16) * 0.02
+    x[51] = -axis + rng.normal(size=16) * 0.5
+    got = neighbours.query(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted(r.query_id for r in got) == sorted(list(range(0, 1500, 50)) * 5)
+    s = unit @ unit[50]
+    s[50] = -2
+    assert {r.vec_id for r in got if r.query_id == 50} == set(np.argsort(-s)[:5].tolist())
+
+
 def test_sharding_fits_limit(spark):
     texts = ["x" * (i % 90) for i in range(400)] + ["y" * 5000]
     got = sharding.assign(docs_of(spark, texts), 1000).collect()
