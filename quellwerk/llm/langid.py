@@ -102,16 +102,16 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 class Model:
     """Languages, a table of idf times weight per cell, the bias, the temperature, the idf per cell,
-    and per language its documents' usual mean idf and the spread of their n-grams around it."""
+    per language its documents' usual mean idf, and the spread of n-grams around it."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, heat: float, idf: np.ndarray | None = None, usual: np.ndarray | None = None, spread: np.ndarray | None = None):
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, heat: float, idf: np.ndarray | None = None, usual: np.ndarray | None = None, spread: float = 0.0):
         self.langs, self.table, self.bias, self.heat = langs, table, bias, heat
         self.idf, self.usual, self.spread = idf, usual, spread
 
     def foreign(self, found: np.ndarray, k: int) -> bool:
         """Whether the n-grams are too rare for a text in language k. A language without sampled
         documents takes all."""
-        least = self.usual[k] + RARER + ERRORS * self.spread[k] / np.sqrt(len(found) / OVERLAP)
+        least = self.usual[k] + RARER + ERRORS * self.spread / np.sqrt(len(found) / OVERLAP)
         return bool(self.idf.take(found).mean(dtype=np.float64) > least)
 
     def predict(self, text: bytes, known: bool = False) -> tuple[str, float]:
@@ -174,7 +174,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 7)
         squares[k].append(float(share @ (idf[cells] - means[k][-1]) ** 2))
     # Medians, so that some documents with a wrong language do not count.
     usual = np.array([np.median(m) if m else np.inf for m in means])
-    spread = np.array([np.sqrt(np.median(s)) if s else 0.0 for s in squares])
+    # The widest spread holds for all, as a key or a name in a short text is rare in any language.
+    spread = max([float(np.sqrt(np.median(s))) for s in squares if s], default=0.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     held, learned = order[: len(order) // 5], order[len(order) // 5 :]
