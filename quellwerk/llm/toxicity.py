@@ -34,8 +34,9 @@ SAMPLE = 12_000
 LEAST_DOCS = 4
 #: The likelihood ratio statistic at which half of a term's association with the label counts.
 EVIDENCE = 12.0
-#: Terms of a larger share are function words, which only add noise.
-MOST_SHARE = 0.15
+#: Terms of a larger share of the counted rows are left out; none by default, as a frequent term may
+#: matter in a pair. Alone it has little weight, since it goes with either label.
+MOST_SHARE = 1.0
 #: With fewer sampled rows none are held back.
 LEAST_HELD = 140
 

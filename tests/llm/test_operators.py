@@ -239,6 +239,19 @@ def test_factorization_machine_learns_pairs():
     assert right > 0.9
 
 
+def test_pairs_are_learnt_as_in_production():
+    """The label is the product of two terms, each in half of the rows; rows not learnt from judge."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(2500):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.unique(np.concatenate((rng.integers(10, 60, 3), [1] if a else [2], [3] if b else [4]))))
+        labels.append(float(a == b))
+    machine = toxicity.FactorizationMachine()
+    machine.fit(rows[:1500], np.array(labels[:1500]))
+    assert np.mean([(machine.score(r) > 0.5) == (y > 0.5) for r, y in zip(rows[1500:], labels[1500:], strict=True)]) > 0.9
+
+
 def test_toxic_words_of_a_small_language_are_learnt(spark):
     """A word in 8 of some 3000 rows, which are the toxic ones of a language of 40."""
     rng = random.Random(5)
