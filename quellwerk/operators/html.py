@@ -84,8 +84,9 @@ def parse(html: str | None) -> tuple:
     return page.row()
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", most_chars: int = 5_000_000) -> DataFrame:
-    """(key, FIELDS, parse_error); a page that fails gives nulls and its error."""
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", most_chars: int | None = None) -> DataFrame:
+    """(key, FIELDS, parse_error); a page that fails gives nulls and its error. Whole
+    pages are parsed, or their first most_chars characters."""
     names = [f.split(" ")[0] for f in FIELDS.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +100,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", most
             yield pd.DataFrame(rows, columns=[key, *names, "parse_error"])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(F.col(key).alias("k"), F.substring(html, 1, most_chars).alias("h")).mapInPandas(read, f"{key} {kind}, {FIELDS}, parse_error string")
+    return pages.select(F.col(key).alias("k"), (F.col(html) if most_chars is None else F.substring(html, 1, most_chars)).alias("h")).mapInPandas(read, f"{key} {kind}, {FIELDS}, parse_error string")
 
 
 def structure(parsed: DataFrame, key: str = "page_id") -> DataFrame:

@@ -51,6 +51,12 @@ def test_html(spark):
     assert got[1].text == got[2].text == ""
 
 
+def test_long_pages_are_parsed_whole(spark):
+    rows = spark.range(1).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>a</p><!--"), F.repeat(F.lit("x"), 5_000_000), F.lit("--><p>b</p>")).alias("html"))
+    assert [(r.paragraphs, r.text) for r in H.parse_pages(rows).collect()] == [(2, "a b")]
+    assert [r.text for r in H.parse_pages(rows, most_chars=8).collect()] == ["a"]
+
+
 def test_link_influence_ignores_empty_url(spark):
     rows = spark.createDataFrame([(1, ["/a", "/b?x"], "/b"), (1, ["/a"], "")], "k int, links array<string>, url string")
     assert [(r.ref_count, r.first_position_ratio) for r in R.link_influence(rows, ["k"], "links", "url").collect()] == [(1, 0.5), (0, 1.0)]
