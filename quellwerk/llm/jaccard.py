@@ -63,6 +63,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _PIECE = 1 << 17
+_MASK = (1 << 64) - 1
 _UP, _DOWN = _powers(_ODD, _PIECE + 1), _powers(_INVERSE, _PIECE + 1)
 
 
@@ -78,22 +79,37 @@ def _hashes(raw: np.ndarray) -> np.ndarray:
     return (running[ends] - running[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64)
 
 
+def _long_word(raw: np.ndarray, at: int) -> tuple[int, int]:
+    """The hash that _hashes would give of the word at this place, from its parts, and its end."""
+    total, power, end = 0, 1, at
+    while end < len(raw):
+        part = raw[end : end + _PIECE]
+        gaps = np.flatnonzero(~_INSIDE[part])
+        n = int(gaps[0]) if len(gaps) else len(part)
+        if n:
+            total += (int(_hashes(part[:n])[0]) - n) * power
+            power = power * int(_UP[_PIECE]) & _MASK
+            end += n
+        if len(gaps):
+            break
+    return (total + end - at) & _MASK, end
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word. Long texts go in pieces that end between words; only a word
-    longer than a piece is hashed by itself, from the hashes of its parts."""
+    """A 64-bit hash of each word. Long texts go in pieces that end between words; a word that
+    fills a piece is hashed from its parts, to the same value as elsewhere."""
     raw = np.frombuffer(text, np.uint8)
     if len(raw) <= _PIECE:
         return mix64(_hashes(raw))
     out, at = [], 0
     while at < len(raw):
         end = min(at + _PIECE, len(raw))
-        while end < len(raw) and end > at and _INSIDE[raw[end - 1]]:
-            end -= 1
+        if end < len(raw):
+            gaps = np.flatnonzero(~_INSIDE[raw[at:end]])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else at
         if end == at:  # one word fills the piece
-            rest = np.flatnonzero(~_INSIDE[raw[at:]])
-            end = at + int(rest[0]) if len(rest) else len(raw)
-            parts = np.array([_hashes(raw[i : min(i + _PIECE, end)])[0] for i in range(at, end, _PIECE)])
-            out.append(np.array([np.add.reduce(mix64(parts + np.arange(len(parts), dtype=np.uint64)))]))
+            found, end = _long_word(raw, at)
+            out.append(np.array([found], np.uint64))
         else:
             out.append(_hashes(raw[at:end]))
         at = end
@@ -334,18 +350,21 @@ def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, sketches:
 
 
 def remove_near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one document of each group, the one of the smallest id; rows without id stay. The
-    ids that go are broadcast if their counted size allows, else joined by shuffle."""
+    """docs with one document of each group, the one of the smallest id; rows without id stay, and of
+    rows that repeat an id one stays, chosen by a hash of the row. The columns are those of docs,
+    whatever their names. The ids that go are broadcast if their counted size allows, else joined
+    by shuffle."""
     found = materialise(jaccard_components(docs, size, num, den), "duplicates")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(broadcast_if_small(gone, 16), docs.doc_id == F.col("_gone"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    kept = whole.join(broadcast_if_small(gone, 16), "id", "left_anti")
+    again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select("id")
     if again.isEmpty():
-        return kept
-    # Rows that repeat an id are one document: all rows of such ids but one go.
-    ids = again.select(F.col("doc_id").alias("_again"))
-    once = kept.join(broadcast_if_small(ids, 16), kept.doc_id == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(broadcast_if_small(ids, 16), kept.doc_id == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select("row.*")
+    again = broadcast_if_small(again, 16)
+    once = kept.join(again, "id", "left_anti").select("row")
+    one = kept.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(one.select("row")).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

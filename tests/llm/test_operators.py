@@ -109,6 +109,15 @@ def test_word_hashes_of_long_words_and_texts():
     assert len(got) == 100_002 and got[0] == got[-1] and len(set(got.tolist())) == 2
 
 
+@pytest.mark.parametrize("n", [jaccard._PIECE - 1, jaccard._PIECE, jaccard._PIECE + 1, 3 * jaccard._PIECE])
+def test_a_word_hashes_alike_at_every_place(n):
+    word = bytes(97 + i % 26 for i in range(n))
+    texts = [word, word + b"\n", b"a " + word, word + b" a", b"ab " * 90_000 + word.upper() + b"\tb"]
+    want = {int(jaccard.word_hashes(word)[0])}
+    assert [want <= set(jaccard.word_hashes(t).tolist()) for t in texts] == [True] * 5
+    assert int(jaccard.word_hashes(word[:-1])[0]) not in want
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = components.components(edges).collect()
@@ -121,6 +130,18 @@ def test_remove_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept) == [0, 3] and kept[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_remove_near_duplicates_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f"), (1, "other words of its own here"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_gone", "_again", "id", "row", "count", "component_id", "cid", "n"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = jaccard.remove_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r._gone, r.row) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(i, "mine", "mine") for i in (1, None, 3, 4)], key=str)
+    assert jaccard.remove_near_duplicates(docs.limit(0)).collect() == []
+
+
 def test_neighbours_recall_ties_and_unusable(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)
