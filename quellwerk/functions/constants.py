@@ -46,6 +46,10 @@ EXCEPTION_RULES = [
     (("dns", "name or service", "getaddrinfo"), "dns"),
 ]
 
+#: White space of any script, for use inside a character class, and a run of anything else.
+GAP = r"\x09-\x0D\x1C-\x20" + "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{GAP}]"
+INK = f"[^{GAP}]+"
 TOKEN = r"[a-zA-Z一-鿿]{2,}"
 WORD = r"[a-zA-Z一-鿿]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -60,3 +64,6 @@ NA_TOKENS = ["", "null", "NULL", "NaN", "nan", "NA", "N/A", "n/a", "None", "<NA>
 #: Weights of reference count, early position, paragraph coverage, TF-IDF cosine, n-gram overlap.
 SCORE_WEIGHTS = (0.20, 0.15, 0.20, 0.25, 0.20)
 SITE_TYPES = ["新闻", "blog", "行业垂类", "测评类", "官网", "电商", "其他"]
+#: First parts of a path that name a category, and the layers of prompts.
+CATEGORY_PART = "^[ABCD]_"
+CATEGORIES = ["A_commerce", "A_technology", "A_local", "A_news", "A_healthcare", "A_finance"]

@@ -13,15 +13,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(K.TOKEN), F.lit(0))
 
 
+def bound(value: Column, f) -> Column:
+    """f of the value, which is computed once however often f uses it, also within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by a space; none if there are fewer."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return bound(words, lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(F.array().cast("array<string>")))
 
 
 def squeeze(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+    return F.regexp_replace(F.regexp_replace(text, f"{K.SPACE}+", " "), r"^ | $", "")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(text, f"^{K.SPACE}+|{K.SPACE}+$", "")
 
 
 def strip_badge(name: Column) -> Column:
@@ -36,10 +46,8 @@ def record_id(source: Column) -> Column:
 
 def info_density(text: Column) -> Column:
     """The share of words beyond the stop list and longer than 2."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in K.STOP_WORDS])
-    useful = F.size(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
-    return F.round(useful / F.greatest(F.size(words), F.lit(1)), 3)
+    useful = lambda words: F.size(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(K.STOP_WORDS)))
+    return bound(F.regexp_extract_all(F.lower(text), F.lit(K.INK), F.lit(0)), lambda words: F.round(useful(words) / F.greatest(F.size(words), F.lit(1)), 3))
 
 
 def language(text: Column) -> Column:
@@ -50,21 +58,20 @@ def language(text: Column) -> Column:
 
 def sentence_length(text: Column) -> Column:
     """Mean words of the sentences longer than 5 characters."""
-    parts = F.filter(F.transform(F.split(text, "[.!?。！？]+"), lambda s: F.btrim(s, F.lit(" \t\n\r\x0b\f"))), lambda s: F.length(s) > 5)
-    words = F.aggregate(parts, F.lit(0), lambda n, s: n + F.regexp_count(s, F.lit(r"\S+")))
-    return F.round(F.when(F.size(parts) > 0, words / F.size(parts)).otherwise(0.0), 1)
+    words = lambda parts: F.aggregate(parts, F.lit(0), lambda n, s: n + F.regexp_count(s, F.lit(K.INK)))
+    parts = F.filter(F.transform(F.split(text, "[.!?。！？]+"), strip), lambda s: F.length(s) > 5)
+    return bound(parts, lambda p: F.round(F.when(F.size(p) > 0, words(p) / F.size(p)).otherwise(0.0), 1))
 
 
 def unique_ratio(text: Column) -> Column:
     """Distinct words over words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(K.WORD), F.lit(0))
-    return F.round(F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)), 4)
+    return bound(F.regexp_extract_all(F.lower(text), F.lit(K.WORD), F.lit(0)), lambda words: F.round(F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)), 4))
 
 
 def overlap(wanted: Column, given: Column, digits: int) -> Column:
     """The share of distinct wanted terms that are given; 0 if none is wanted."""
-    n = F.size(F.array_distinct(wanted))
-    return F.round(F.when(n > 0, F.size(F.array_intersect(wanted, given)) / F.greatest(n, F.lit(1))).otherwise(0.0), digits)
+    share = lambda w: F.size(F.array_intersect(w, given)) / F.size(w)
+    return bound(F.array_distinct(wanted), lambda w: F.round(F.when(F.size(w) > 0, share(w)).otherwise(0.0), digits))
 
 
 def content_flags(text: Column) -> dict[str, Column]:
@@ -83,8 +90,8 @@ def first_rule(rules, holds, otherwise: str) -> Column:
 
 def question_type(question: Column) -> Column:
     """T13, J14."""
-    q = F.lower(F.trim(question))
-    return first_rule(K.QUESTION_RULES, q.rlike, "other")
+    q = F.lower(strip(question))
+    return first_rule(K.QUESTION_RULES, lambda rule: q.rlike(f"(?U){rule}"), "other")
 
 
 def domain_type(host: Column) -> Column:
@@ -199,3 +206,60 @@ def scenario_label(n: Column) -> Column:
     for low, label in ((11, "vague"), (21, "multi_constraint"), (31, "long_decision"), (41, "macro_trend")):
         out = out.when(n.between(low, low + 9), label)
     return out.otherwise("unknown")
+
+
+def infer_category(path: Column) -> Column:
+    """The first part of a path that names a category, else the empty text."""
+    return F.coalesce(F.get(F.filter(F.split(path, r"[/\\]"), lambda p: p.rlike(K.CATEGORY_PART)), F.lit(0)), F.lit(""))
+
+
+def clip(text: Column, most_chars: int) -> Column:
+    """The first most_chars characters."""
+    return F.substring(text, 1, most_chars)
+
+
+def clip_tokens(text: Column, most_tokens: int = 8100, chars_a_token: int = 3) -> Column:
+    """As many characters as most_tokens have, by the given mean; no tokenizer is needed."""
+    return clip(text, most_tokens * chars_a_token)
+
+
+def tech_text(techs: Column) -> Column:
+    """A map of names to structs with a category as "name [category] | ...", on one line."""
+    parts = F.transform(F.map_entries(techs), lambda e: F.concat(e["key"], F.lit(" ["), F.coalesce(e["value"]["category"], F.lit("null")), F.lit("]")))
+    return F.coalesce(F.nullif(F.array_join(one_line(parts), " | "), F.lit("")), F.lit("null"))
+
+
+def one_line(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.translate(p, "\n\r", "  "))
+
+
+def _runs(terms: Column) -> Column:
+    """(n, term, a, c) per distinct term of a sorted array of (term, side): how often it occurs, in
+    all, on side 0 and on side 1. One pass over the sorted array."""
+    first = lambda t: F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: (i == 0) | (i == F.size(t)) | (F.get(t, i)["term"] != F.get(t, i - 1)["term"]))
+
+    def run(t: Column, at: Column, end: Column) -> Column:
+        own = F.slice(t, at + 1, end - at)
+        a = F.size(F.filter(own, lambda x: x["side"] == 0))
+        return F.struct((at - end).alias("n"), F.get(t, at)["term"].alias("term"), a.cast("double").alias("a"), (end - at - a).cast("double").alias("c"))
+
+    return bound(terms, lambda t: bound(first(t), lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda at, k: run(t, at, F.get(s, k + 1)))))
+
+
+#: Smoothed idf over two texts: 1 for a shared term, 1 + ln 1.5 for one of a single text.
+IDF_ONE = 1.4054651081081644
+MOST_TERMS = 5000
+
+
+def tfidf_cosine(left: Column, right: Column, stop_words: list[str] = K.STOP_WORDS, most_terms: int = MOST_TERMS) -> Column:
+    """The cosine of the TF-IDF vectors of two texts, the vectoriser being fitted on just them;
+    of all terms the most_terms most frequent count, by code point where they tie. stop_words are
+    left out; the default is the list of the information density. Terms are counted in the row."""
+    side = lambda text, k: F.transform(F.filter(F.regexp_extract_all(F.lower(text), F.lit(K.TERM), F.lit(0)), lambda w: ~w.isin(stop_words)), lambda w: F.struct(w.alias("term"), F.lit(k).alias("side")))
+    both = F.array_sort(F.concat(side(left, 0), side(right, 1)))
+    kept = bound(_runs(both), lambda r: F.when(F.size(r) > most_terms, F.slice(F.array_sort(r), 1, most_terms)).otherwise(r))
+    idf2 = lambda r: F.when((r["a"] > 0) & (r["c"] > 0), 1.0).otherwise(IDF_ONE**2)
+    zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("na"), F.lit(0.0).alias("nc"))
+    add = lambda s, r: F.struct((s["dot"] + r["a"] * r["c"]).alias("dot"), (s["na"] + r["a"] * r["a"] * idf2(r)).alias("na"), (s["nc"] + r["c"] * r["c"] * idf2(r)).alias("nc"))
+    cosine = F.aggregate(kept, zero, add, lambda s: F.try_divide(s["dot"], F.sqrt(s["na"]) * F.sqrt(s["nc"])))
+    return F.round(F.coalesce(cosine, F.lit(0.0)), 4)

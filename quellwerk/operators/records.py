@@ -52,10 +52,11 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def tiered(rows: DataFrame, key: str, tiers: list[tuple[DataFrame, str]], name: str) -> DataFrame:
-    """The first non-null value among several lookup tables, in order."""
+    """The first non-null value among several lookup tables, in order; of a key that a table
+    repeats, its least value."""
     found = []
     for i, (table, value) in enumerate(tiers):
-        rows = rows.join(table.select(F.col(key), F.col(value).alias(f"_t{i}")).dropDuplicates([key]), key, "left")
+        rows = rows.join(table.groupBy(key).agg(F.min(value).alias(f"_t{i}")), key, "left")
         found.append(F.col(f"_t{i}"))
     return rows.withColumn(name, F.coalesce(*found)).drop(*[f"_t{i}" for i in range(len(tiers))])
 
@@ -69,8 +70,9 @@ def merge_authority(rows: DataFrame, other: DataFrame, keys: list[str], primary:
 
 
 def backfill(records: DataFrame, fresh: DataFrame, key: str, value: str, failed: Column) -> DataFrame:
-    """Replaces the value where it had failed and a fresh one exists."""
-    right = fresh.select(F.col(key), F.col(value).alias("_fresh")).dropDuplicates([key])
+    """Replaces the value where it had failed and a fresh one exists; of several fresh
+    ones, the least."""
+    right = fresh.groupBy(key).agg(F.min(value).alias("_fresh"))
     return records.join(right, key, "left").withColumn(value, F.when(failed & F.col("_fresh").isNotNull(), F.col("_fresh")).otherwise(F.col(value))).drop("_fresh")
 
 
@@ -98,15 +100,31 @@ def attach_prompt(rows: DataFrame, prompts: DataFrame, base: str, number: str) -
     return rows.join(named, [base, number], "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
 
 
-def link_influence(pages: DataFrame, keys: list[str], links: str, url: str) -> DataFrame:
-    """References and first place of a cited url among a page's links, inside the row. An
-    empty url matches nothing."""
+def link_influence(pages: DataFrame, keys: list[str], links: str, url: str, blocks: str | None = None, strict: bool = False) -> DataFrame:
+    """References and first place of a cited url among a page's links, inside the row, and
+    with blocks (ranges over the links) how many text blocks hold one. An empty url matches nothing,
+    or with strict every link, as in the published figures."""
+    found = influence_columns(F.col(links), F.col(url), None if blocks is None else F.col(blocks), strict)
+    rows = pages.withColumn("_at", matching_links(F.col(links), F.col(url), strict))
+    return rows.select(*keys, url, *[c.alias(n) for n, c in found.items()])
+
+
+def matching_links(links: Column, url: Column, strict: bool = False) -> Column:
+    """The places of the links that refer to url: equal up to the query, or containing it."""
     bare = lambda c: F.substring_index(c, "?", 1)
-    hit = F.transform(F.col(links), lambda h: (F.col(url) != "") & ((bare(h) == bare(F.col(url))) | F.contains(h, F.col(url))))
-    n = F.greatest(F.size(links), F.lit(1))
-    rows = pages.withColumn("_hit", hit)
-    refs = F.size(F.filter("_hit", lambda x: x))
-    return rows.select(*keys, url, refs.alias("ref_count"), F.round(F.when(refs > 0, (F.array_position("_hit", F.lit(True)) - 1) / n).otherwise(1.0), 3).alias("first_position_ratio"))
+    hit = lambda h: ((bare(h) == bare(url)) | F.contains(h, url)) & (F.lit(strict) | (url != ""))
+    return F.filter(F.transform(links, lambda h, i: F.when(hit(h), i)), lambda i: i.isNotNull())
+
+
+def influence_columns(links: Column, url: Column, blocks: Column | None, strict: bool = False, at: str = "_at") -> dict[str, Column]:
+    """The columns of link_influence over a column named at with matching_links."""
+    refs, n = F.size(at), F.greatest(F.size(links), F.lit(1))
+    out = {"ref_count": refs, "first_position_ratio": F.round(F.when(refs > 0, F.get(at, F.lit(0)) / n).otherwise(1.0), 3)}
+    if blocks is not None:
+        covered = F.size(F.filter(blocks, lambda b: F.exists(at, lambda i: (i >= b["start"]) & (i < b["end"]))))
+        total = F.size(blocks)
+        out |= {"covered_paragraphs": covered, "total_answer_paragraphs": total, "paragraph_coverage_ratio": F.round(covered / F.greatest(total, F.lit(1)), 3)}
+    return out
 
 
 def url_totals(rows: DataFrame, platform: str, url: str) -> DataFrame:

@@ -7,9 +7,7 @@ flags, and events for the search log.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quellwerk.functions import constants as K
@@ -18,50 +16,17 @@ from quellwerk.operators import analytics as A
 from quellwerk.operators import html as H
 from quellwerk.operators import records as R
 from quellwerk.operators import similarity as S
+from quellwerk.plans.registry import DOMAIN, DOMAIN_TYPE, GRAMS, HOST, ORACLES, PAIR_SQL, PATH, QUERIES, TOKENS, query
+from quellwerk.plans.registry import all_of as _all
+from quellwerk.plans.registry import cases as _cases
+from quellwerk.plans.registry import quoted as _q
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of table readers under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 c = F.col
 lit = F.lit
 
 
-def _q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _cases(rules, holds: str, otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN {holds.format(_q(p))} THEN {_q(label)}" for p, label in rules) + f" ELSE {_q(otherwise)} END"
-
-
-def _all(text: str, pattern: str) -> str:
-    return f"regexp_extract_all({text}, {_q(pattern)})"
-
-
-HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"
-PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
-DOMAIN = f"replace({HOST}, 'www.', '')"
-TOKENS = lambda t: _all(f"lower({t})", K.TOKEN)
-DOMAIN_TYPE = _cases(K.DOMAIN_RULES, f"contains({DOMAIN}, {{}})", "commercial")
-PAIR_SQL = "SELECT u.conv_id, u.turn, u.text AS q, a.text AS a FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
-GRAMS = lambda t, n: f"list_transform(range(1, greatest(len({t}) - {n - 1}, 0) + 1), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
-ITEM = "(l_orderkey * 10 + l_linenumber)"
-
-
 def pairs(t) -> DataFrame:
     """Question and answer turns: an assistant turn right after a user turn."""
     turns = t("conversations")
@@ -88,12 +53,20 @@ def q_unique_word_ratio(t):
     return t("documents").select("doc_id", X.unique_ratio(c("text")).alias("ratio"))
 
 
-@query(r"SELECT doc_id, round(coalesce(list_avg(list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: length(s) > 5), lambda s: len(regexp_extract_all(s, '\S+')))), 0), 1) AS words FROM documents")
+_PARTS = f"list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda s: regexp_replace(s, {_q(f'^{K.SPACE}+|{K.SPACE}+$')}, '', 'g'))"
+
+
+@query(f"""
+SELECT doc_id, round(coalesce(list_avg(list_transform(list_filter({_PARTS}, lambda s: length(s) > 5),
+         lambda s: len({_all('s', K.INK)}))), 0), 1) AS words
+FROM documents""")
 def q_sentence_length(t):
     return t("documents").select("doc_id", X.sentence_length(c("text")).alias("words"))
 
 
-@query(f"SELECT doc_id, round(len(list_filter(w, lambda x: length(x) > 2 AND NOT list_contains([{', '.join(map(_q, K.STOP_WORDS))}], x))) / greatest(len(w), 1), 3) AS density FROM (SELECT doc_id, {_all('lower(text)', r'\S+')} AS w FROM documents)")
+@query(f"""
+SELECT doc_id, round(len(list_filter(w, lambda x: length(x) > 2 AND x NOT IN ({', '.join(map(_q, K.STOP_WORDS))}))) / greatest(len(w), 1), 3) AS density
+FROM (SELECT doc_id, {_all('lower(text)', K.INK)} AS w FROM documents)""")
 def q_info_density(t):
     return t("documents").select("doc_id", X.info_density(c("text")).alias("density"))
 
@@ -139,21 +112,6 @@ def q_page_structure(t):
     return found.select("page_id", "heading_total", "paragraphs", "lists", "items", "list_density", "tables", "images", "link_count", "bolds", "codes")
 
 
-@query()
-def q_page_text(t):
-    return H.parse_pages(t("pages").select("page_id", "html")).select("page_id", "title", F.length("text").alias("n_chars"), F.size("blocks").alias("n_blocks"))
-
-
-_HREF = """list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda x: true)"""
-
-
-@query(f"WITH p AS (SELECT page_id, {_HREF} AS links FROM pages), u AS (SELECT DISTINCT page_id, links, unnest(links) AS url FROM p), m AS (SELECT page_id, url, links, list_transform(links, lambda h: url <> '' AND (string_split(h, '?')[1] = string_split(url, '?')[1] OR contains(h, url))) AS hit FROM u) SELECT page_id, url, len(list_filter(hit, lambda x: x)) AS ref_count, round(CASE WHEN list_contains(hit, true) THEN (list_position(hit, true) - 1) / greatest(len(links), 1) ELSE 1.0 END, 3) AS first_position_ratio FROM m")
-def q_link_influence(t):
-    links = t("pages").select("page_id", F.regexp_extract_all("html", lit('<a [^>]*href="([^"]*)"'), lit(1)).alias("links"))
-    cited = links.select("page_id", "links", F.explode(F.array_distinct("links")).alias("url"))
-    return R.link_influence(cited, ["page_id"], "links", "url")
-
-
 # --- similarity -----------------------------------------------------------------------------
 
 
@@ -171,7 +129,7 @@ def q_ngram_overlap(t):
     return words.select("conv_id", "turn", *[X.overlap(X.ngrams(c("x"), n), X.ngrams(c("y"), n), 4).alias(f"{name}_overlap") for n, name in ((2, "bigram"), (3, "trigram"))])
 
 
-@query(f"WITH p AS ({PAIR_SQL}), w AS (SELECT conv_id, turn, 0 AS s, unnest({_all('lower(q)', K.TERM)}) AS term FROM p UNION ALL SELECT conv_id, turn, 1, unnest({_all('lower(a)', K.TERM)}) FROM p), k AS (SELECT conv_id, turn, term, (count(*) FILTER (WHERE s = 0))::DOUBLE AS a, (count(*) FILTER (WHERE s = 1))::DOUBLE AS c FROM w WHERE term NOT IN ({', '.join(map(_q, K.STOP_WORDS))}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY a + c DESC, term) AS r FROM k), z AS (SELECT conv_id, turn, sum(a * c) AS dot, sum(a * a * CASE WHEN a > 0 AND c > 0 THEN 1 ELSE {S.IDF_ONE**2} END) AS na, sum(c * c * CASE WHEN a > 0 AND c > 0 THEN 1 ELSE {S.IDF_ONE**2} END) AS nc FROM r WHERE r <= 5000 GROUP BY ALL) SELECT p.conv_id, p.turn, round(coalesce(CASE WHEN na > 0 AND nc > 0 THEN dot / (sqrt(na) * sqrt(nc)) END, 0), 4) AS tfidf_cosine FROM p LEFT JOIN z USING (conv_id, turn)")
+@query(f"WITH p AS ({PAIR_SQL}), w AS (SELECT conv_id, turn, 0 AS s, unnest({_all('lower(q)', K.TERM)}) AS term FROM p UNION ALL SELECT conv_id, turn, 1, unnest({_all('lower(a)', K.TERM)}) FROM p), k AS (SELECT conv_id, turn, term, (count(*) FILTER (WHERE s = 0))::DOUBLE AS a, (count(*) FILTER (WHERE s = 1))::DOUBLE AS c FROM w WHERE term NOT IN ({', '.join(map(_q, K.STOP_WORDS))}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY a + c DESC, term) AS r FROM k), z AS (SELECT conv_id, turn, sum(a * c) AS dot, sum(a * a * CASE WHEN a > 0 AND c > 0 THEN 1 ELSE {X.IDF_ONE**2} END) AS na, sum(c * c * CASE WHEN a > 0 AND c > 0 THEN 1 ELSE {X.IDF_ONE**2} END) AS nc FROM r WHERE r <= 5000 GROUP BY ALL) SELECT p.conv_id, p.turn, round(coalesce(CASE WHEN na > 0 AND nc > 0 THEN dot / (sqrt(na) * sqrt(nc)) END, 0), 4) AS tfidf_cosine FROM p LEFT JOIN z USING (conv_id, turn)")
 def q_tfidf_cosine(t):
     return S.tfidf_cosine(pairs(t), ["conv_id", "turn"], "q", "a")
 
@@ -497,3 +455,7 @@ def q_platform_overview(t):
 @query("SELECT user_id % 4 AS g, event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY user_id % 4), 6) AS share FROM events GROUP BY 1, 2")
 def q_role_share(t):
     return A.share_within(t("events").withColumn("g", c("user_id") % 4), ["g"], "event_type").select("g", "event_type", "n", F.round("share", 6).alias("share"))
+
+
+# The other modules of queries register theirs when they are imported.
+from quellwerk.plans import feature_queries  # noqa: E402, F401
