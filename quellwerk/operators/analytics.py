@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -17,6 +21,44 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, evaluated from the front."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + top * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + top / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h
+
+
+def correlation_p(r: float | None, n: int | None) -> float | None:
+    """The two-sided p-value of Pearson's r over n pairs, by Student's t with n - 2 degrees of
+    freedom; null below three pairs."""
+    if r is None or n is None or n < 3:
+        return None
+    a, b, x = (n - 2) / 2, 0.5, max(0.0, 1 - r * r)
+    if x <= 0:
+        return 0.0
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+@F.pandas_udf(T.DoubleType())
+def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+    """correlation_p for the few rows of a ranking."""
+    return pd.Series([correlation_p(None if pd.isna(a) else a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
+
+
 def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
     """The first k rows, of each group if by is given."""
     if not by:
@@ -24,14 +66,58 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def correlation_rank(df: DataFrame, target: str, columns: list[str], top: int = 25, min_n: int = 30, by: list[str] | None = None) -> DataFrame:
-    """Correlations of columns with target by falling size; pairs with a null side
-    are left out, as are features of fewer than min_n pairs or without variation."""
+#: Cuts that deal a group's distinct values to windows of like size.
+CUTS = 255
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., quantiles): exact quantiles by linear interpolation, null where a group has no value.
+
+    Values are first counted, so ties cost nothing; the distinct ones are dealt to windows by cuts
+    from a sketch, and each window ranks its own from the total of those before. No task holds a
+    group's values, unlike the percentile aggregate."""
+    by = by or []
+    # Null keys are a group: a key travels beside a flag, so that joins can compare it.
+    keys = [f"_k{i}" for i in range(len(by))]
+    plain = df.select(*[F.struct(F.col(b).isNull().alias("n"), F.col(b).alias("v")).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v"))
+    counted = plain.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    hashed = counted.withColumn("_g", F.xxhash64(*[F.to_json(k) for k in keys]) if keys else F.lit(0).cast("long"))
+    cuts = hashed.groupBy("_g").agg(F.percentile_approx("_v", F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), F.lit(10_000)).alias("_cuts"))
+    dealt = hashed.join(cuts, "_g").withColumn("_w", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))).drop("_cuts")
+    sums = dealt.groupBy("_g", "_w").agg(F.sum("_n").alias("_s"))
+    earlier = Window.partitionBy("_g").orderBy("_w")
+    starts = sums.select("_g", "_w", (F.sum("_s").over(earlier) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_g")).alias("_all"))
+    inner = Window.partitionBy("_g", "_w").orderBy("_v")
+    placed = dealt.join(starts, ["_g", "_w"]).withColumn("_last", F.col("_before") + F.sum("_n").over(inner)).withColumn("_first", F.col("_last") - F.col("_n"))
+    found = []
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("_all") - 1)
+        holds = lambda place: (F.col("_first") <= place) & (place < F.col("_last"))
+        found += [F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias(f"_hi{i}"), F.max(at - F.floor(at)).alias(f"_part{i}")]
+    ends = placed.groupBy("_g", *keys).agg(*found)
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]
+    return ends.select(*[F.col(f"{k}.v").alias(b) for b, k in zip(by, keys, strict=True)], F.array(*between).alias("quantiles"))
+
+
+def with_quantiles(rows: DataFrame, found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """rows, one per group, with the quantiles as columns; null keys match."""
+    right = found.select(*[F.col(b).alias(f"_q_{b}") for b in by], *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_q_{b}"))
+    return rows.join(right, same, "left").drop(*[f"_q_{b}" for b in by])
+
+
+def correlation_rank(df: DataFrame, target: str, columns: list[str], top: int = 25, min_n: int = 30, by: list[str] | None = None, p: bool = False) -> DataFrame:
+    """Correlations of columns with target by falling size, with their p-values if
+    wanted; pairs with a null side are left out, as are features of fewer than min_n pairs or
+    without variation."""
     by = by or []
     long = unpivot(df, columns, [*by, target]).filter(f"value is not null and {target} is not null")
     r = long.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("value"), F.col(target).cast("double")).alias("r"))
     r = r.filter((F.col("n") >= min_n) & F.col("r").isNotNull() & ~F.isnan("r"))
-    return top_k(r, top, [F.abs(F.round("r", 9)).desc(), F.col("feature")], by)
+    found = top_k(r, top, [F.abs(F.round("r", 9)).desc(), F.col("feature")], by)
+    return found.withColumn("p", p_value("r", "n")) if p else found
 
 
 def boolean_lift(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -45,7 +131,9 @@ def boolean_lift(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def category_mean(df: DataFrame, column: str, target: str, min_n: int = 20) -> DataFrame:
     """Mean and median per category; null is 'unknown'; small categories are left out."""
-    return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("category")).agg(F.count(target).alias("n"), F.avg(target).alias("mean"), F.percentile(target, F.lit(0.5)).alias("median")).filter(F.col("n") >= min_n)
+    named = df.select(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("category"), F.col(target).alias("_t"))
+    stats = named.groupBy("category").agg(F.count("_t").alias("n"), F.avg("_t").alias("mean")).filter(F.col("n") >= min_n)
+    return with_quantiles(stats, quantiles(named, "_t", [0.5], ["category"]), ["category"], ["median"])
 
 
 def binned(df: DataFrame, column: str, target: str, edges: list[float], right_closed: bool = False) -> DataFrame:
@@ -56,26 +144,30 @@ def binned(df: DataFrame, column: str, target: str, edges: list[float], right_cl
         inside = (x > lo if right_closed else x >= lo) & (F.lit(True) if hi is None else (x <= hi if right_closed else x < hi))
         row = F.struct(F.lit(k).alias("bin"), F.lit(f"{lo}-{'+' if hi is None else hi}").alias("label"))
         out = F.when(inside, row) if out is None else out.when(inside, row)
-    named = df.withColumn("_b", out).filter("_b is not null")
-    return named.groupBy("_b.bin", "_b.label").agg(F.count(target).alias("n"), F.avg(target).alias("mean"), F.percentile(target, F.lit(0.5)).alias("median"))
+    named = df.withColumn("_b", out).filter("_b is not null").select("_b.bin", "_b.label", F.col(target).alias("_t"))
+    stats = named.groupBy("bin", "label").agg(F.count("_t").alias("n"), F.avg("_t").alias("mean"))
+    return with_quantiles(stats, quantiles(named, "_t", [0.5], ["bin"]), ["bin"], ["median"])
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row of statistics per column, zeros if there is nothing."""
     long = unpivot(df, columns, [])
-    qs = F.percentile("value", F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    agg = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), qs.alias("_q"), F.min("value").alias("min"), F.max("value").alias("max"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return agg.select("feature", "n", zero(F.col("mean")).alias("mean"), *[zero(F.get("_q", F.lit(i))).alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))], zero(F.col("min")).alias("min"), zero(F.col("max")).alias("max"))
+    names = ["p10", "p25", "median", "p75", "p90"]
+    stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    found = with_quantiles(stats, quantiles(long, "value", [0.1, 0.25, 0.5, 0.75, 0.9], ["feature"]), ["feature"], names)
+    return found.select("feature", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", *names, "min", "max")])
 
 
 def split_by_quantile(df: DataFrame, score: str, share: float, by: list[str] | None = None) -> DataFrame:
     """df with is_top and is_bottom; both hold where the quantiles meet. One row of cuts per group
     is broadcast by the planner if small."""
     by = by or []
-    cuts = df.groupBy(*by).agg(F.percentile(score, F.array(F.lit(1 - share), F.lit(share))).alias("_cuts"))
-    joined = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
-    return joined.withColumn("is_top", F.col(score) >= F.col("_cuts")[0]).withColumn("is_bottom", F.col(score) <= F.col("_cuts")[1]).drop("_cuts")
+    cuts = quantiles(df, score, [1 - share, share], by).select(*[F.col(b).alias(f"_q_{b}") for b in by], F.col("quantiles").alias("_cuts"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_q_{b}"))
+    joined = df.join(cuts, same) if by else df.crossJoin(F.broadcast(cuts))
+    return joined.withColumn("is_top", F.col(score) >= F.col("_cuts")[0]).withColumn("is_bottom", F.col(score) <= F.col("_cuts")[1]).drop("_cuts", *[f"_q_{b}" for b in by])
 
 
 def top_bottom(df: DataFrame, score: str, columns: list[str], share: float = 0.2, by: list[str] | None = None) -> DataFrame:
@@ -96,9 +188,38 @@ def distribution_compare(df: DataFrame, score: str, column: str, share: float =
 
 
 def type_profile(df: DataFrame, type_col: str, columns: list[str], first: str, second: str) -> DataFrame:
-    """Means per type side by side, and the difference of two types."""
+    """Means of columns, or shares where they are flags, per type side by side, and the
+    difference of two types, the largest first."""
     a, b = (F.avg(F.when(F.col(type_col) == t, F.col("value"))) for t in (first, second))
-    return unpivot(df, columns, [type_col]).groupBy("feature").agg(a.alias("first_mean"), b.alias("second_mean"), (a - b).alias("delta"))
+    out = unpivot(df, columns, [type_col]).groupBy("feature").agg(a.alias("first_mean"), b.alias("second_mean"), (a - b).alias("delta"))
+    return out.orderBy(F.abs(F.round("delta", 9)).desc_nulls_last(), "feature")
+
+
+def slice_drivers(df: DataFrame, by: str, score: str, columns: list[str], min_rows: int = 50, top: int = 5) -> DataFrame:
+    """Per group of at least min_rows rows its size, mean and median score, and the top features
+    by how far the means of its top and bottom fifth lie apart."""
+    given = df.filter(F.col(by).isNotNull())
+    sizes = given.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.avg(score).alias("mean")).filter(F.col("rows") >= min_rows)
+    sizes = with_quantiles(sizes, quantiles(given, score, [0.5], [by]), [by], ["median"])
+    apart = top_k(top_bottom(df, score, columns, by=[by]).filter("delta is not null"), top, [F.abs(F.round("delta", 9)).desc(), F.col("feature")], [by])
+    return sizes.join(apart, by).select(by, "rows", "mean", "median", "feature", "delta", "ratio")
+
+
+def prevalence(df: DataFrame, flags: list[str]) -> DataFrame:
+    """The share of rows that each flag holds for, the largest first."""
+    return unpivot(df, flags, []).groupBy("feature").agg(F.avg("value").alias("share")).orderBy(F.round("share", 9).desc(), "feature")
+
+
+def score_stats(df: DataFrame, by: str, score: str) -> DataFrame:
+    """Number, mean, median and ninth decile of the score per group."""
+    stats = df.groupBy(by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"))
+    return with_quantiles(stats, quantiles(df, score, [0.5, 0.9], [by]), [by], ["median", "p90"])
+
+
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """Rows and percent per value, the most frequent first; null is 'unknown'."""
+    counted = value_counts(df, column, "unknown")
+    return counted.withColumn("share", 100 * F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.col("n").desc(), "value")
 
 
 def share_within(df: DataFrame, by: list[str], key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellwerk.operators.analytics import quantiles, with_quantiles
+
 
 def explode_citations(records: DataFrame, keys: list[str], citations: str = "citations") -> DataFrame:
     """A row per citation with its place; records without citations give none."""
@@ -88,10 +90,13 @@ def labels_by_index(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return last.select(*keys, F.col("_i.idx").alias("citation_index"), blank("semantic_role", ""), blank("relevance_score", 0), blank("content_quality", 0), blank("influence_type", ""))
 
 
-def prompt_lines(files: DataFrame) -> DataFrame:
-    """(layer, n, prompt) from whole files (name, value); n counts lines from 1."""
+def prompt_lines(files: DataFrame, blank: bool = True) -> DataFrame:
+    """(layer, n, prompt) from whole files (name, value); n counts lines from 1, or without
+    blank only those that hold something."""
+    lines = F.split("value", "\r?\n")
+    files = files.withColumn("_l", lines if blank else F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))
     layer = F.regexp_replace(F.regexp_replace("name", "^prompt", ""), r"\.txt$", "")
-    return files.select(layer.alias("layer"), F.posexplode(F.split("value", "\r?\n")).alias("_p", "prompt")).select("layer", (F.col("_p") + 1).alias("n"), "prompt")
+    return files.select(layer.alias("layer"), F.posexplode("_l").alias("_p", "prompt")).select("layer", (F.col("_p") + 1).alias("n"), "prompt")
 
 
 def attach_prompt(rows: DataFrame, prompts: DataFrame, base: str, number: str) -> DataFrame:
@@ -136,4 +141,5 @@ def url_totals(rows: DataFrame, platform: str, url: str) -> DataFrame:
 def prompt_metrics(rows: DataFrame, by: list[str], prompt: str, triggered: Column, valid: Column) -> DataFrame:
     """Per group, the trigger rate and citations per observed and per triggered prompt."""
     each = rows.groupBy(*by, prompt).agg(F.bool_or(triggered).alias("_t"), F.count_if(valid).alias("_c"))
-    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("prompts"), (100 * F.count_if("_t") / F.count(F.lit(1))).alias("trigger_rate"), F.avg("_c").alias("per_prompt"), F.avg(F.when(F.col("_t"), F.col("_c"))).alias("per_triggered"), F.percentile("_c", F.lit(0.5)).alias("median"), F.max("_c").alias("max"))
+    stats = each.groupBy(*by).agg(F.count(F.lit(1)).alias("prompts"), (100 * F.count_if("_t") / F.count(F.lit(1))).alias("trigger_rate"), F.avg("_c").alias("per_prompt"), F.avg(F.when(F.col("_t"), F.col("_c"))).alias("per_triggered"), F.max("_c").alias("max"))
+    return with_quantiles(stats, quantiles(each, "_c", [0.5], by), by, ["median"])

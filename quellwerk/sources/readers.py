@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ def read_html(spark: SparkSession, path: str, glob: str = "*.{html,htm}") -> Dat
     """(path, html) of all pages below path; bytes that are not UTF-8 become U+FFFD and
     are removed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("html"))
+    return files.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("html"))
 
 
 def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -44,6 +47,24 @@ def clean_header_rows(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.coalesce(F.col(f"`{column}`"), F.lit("")) != column)
 
 
+def read_features(spark: SparkSession, path: str, columns: list[str], booleans: list[str], numbers: list[str]) -> DataFrame:
+    """A feature table from CSV: booleans by their truthy spellings, numbers or null."""
+    from quellwerk.functions.text import number, truthy
+
+    rows = read_csv(spark, path, columns)
+    kind = lambda c: truthy(F.col(c)) if c in booleans else number(F.col(c)) if c in numbers else F.col(c)
+    return rows.select(*[kind(c).alias(c) for c in columns])
+
+
+def lookup_cache(urls: DataFrame, cache: DataFrame) -> DataFrame:
+    """The distinct urls with their cached result and whether it is a success; a url that the
+    cache lacks, or has without a readable result, has neither."""
+    keyed = cache.withColumn("_k", F.sha2("url", 256)).drop("url")
+    wanted = urls.select("url").distinct().withColumn("_k", F.sha2("url", 256))
+    found = wanted.join(keyed, "_k", "left").drop("_k")
+    return found.withColumn("cached_ok", F.coalesce((F.col("fetch_error") == "") & (F.coalesce("fetched_html", F.lit("")) != ""), F.lit(False)))
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Whole prompt files (name, value)."""
     return spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
@@ -67,14 +88,59 @@ def pair_files(files: DataFrame) -> DataFrame:
 
 
 def write_json_lines(rows: DataFrame, path: str, mode: str = "append", by: str | None = None) -> None:
-    """JSON lines, a folder per platform if by names it."""
+    """JSON lines, a folder per platform if by names it."""
     writer = rows.write.mode(mode)
     (writer.partitionBy(by) if by else writer).json(path)
 
 
-def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """One CSV file with header, in the order of columns."""
-    rows.select(*columns).coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+def split_bodies(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, bodies): the records with every page moved out of their citations, which keep the
+    path it is stored under, and (path, html) of the distinct pages. The path is of the url's hash."""
+    path = lambda c: F.concat(F.lit("_citation_cache/"), F.sha2(c["url"], 256), F.lit(".html"))
+    held = lambda c: F.coalesce(c["fetched_html"], F.lit("")) != ""
+    slim = lambda c: c.withField("fetched_html_path", F.when(held(c), path(c)).otherwise(F.coalesce(c["fetched_html_path"], F.lit("")))).withField("fetched_html", F.lit(""))
+    cited = records.select(F.explode("citations").alias("c")).filter(held(F.col("c")))
+    bodies = cited.groupBy(path(F.col("c")).alias("path")).agg(F.max("c.fetched_html").alias("html"))
+    return records.withColumn("citations", F.transform("citations", slim)), bodies
+
+
+def write_index(records: DataFrame, path: str) -> None:
+    """The index as JSON lines and the pages as a table beside it."""
+    index, bodies = split_bodies(records)
+    bodies.write.mode("overwrite").parquet(f"{path}/bodies")
+    index.write.mode("overwrite").json(f"{path}/index")
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
+    """CSV files with header, in the order of columns, written in parallel."""
+    rows.select(*columns).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+
+
+BOM = "\ufeff"
+
+
+def export_csv(rows: DataFrame, file: str, columns: list[str], append: bool = False, bom: bool = True) -> int:
+    """One local CSV file, opened by a byte order mark; appended rows follow the header
+    that is there. Rows stream through the driver one partition at a time; for tables that one
+    machine can hold, others are for write_csv. The number of rows written."""
+    fresh = not (append and os.path.exists(file) and os.path.getsize(file))
+    n = 0
+    with open(file, "w" if fresh else "a", encoding="utf-8", newline="") as out:
+        if fresh:
+            out.write(BOM if bom else "")
+        writer = csv.writer(out)
+        if fresh:
+            writer.writerow(columns)
+        for row in rows.select(*columns).toLocalIterator():
+            writer.writerow(["" if v is None else v for v in row])
+            n += 1
+    return n
+
+
+def with_prompt_second(rows: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """The prompt as the third column, behind the two that name the answer."""
+    others = [c for c in rows.columns if c != prompt]
+    return rows.select(*others[:2], prompt, *others[2:])
 
 
 def run_summary(rows: DataFrame, platform: str, ok: Column) -> DataFrame:
