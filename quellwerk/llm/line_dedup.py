@@ -1,7 +1,9 @@
 """Line deduplication with DataFrame functions alone.
 
-Lines are exploded, normalised and hashed to 128 bits; per hash the documents that hold it are
+Lines are exploded, normalised and hashed to 128 bits, once; per hash the documents that hold it are
 counted; a line whose hash reaches the threshold stays only in the document with the smallest id.
+Lines of the most frequent hashes find theirs in a broadcast table of bounded size, so no task meets
+all lines of one of them; the others are joined by shuffle.
 
 Defined cases: a null or empty text is one empty line; keys shorter than min_chars never drop; a
 row without id keeps all its lines and counts for no other; repeated rows are treated alike (they
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellwerk.llm.common import ASCII_SPACE, LOWER, UPPER, kept_columns
+from quellwerk.llm.common import ASCII_SPACE, LOWER, UPPER, kept_columns, materialise
 
 
 def line_key(line: Column) -> Column:
@@ -27,13 +29,29 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+#: Keys beyond this many lines are frequent, and at most this many keys can be.
+LEAST_FREQUENT, MOST_FREQUENT = 1000, 1 << 20
+
+
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(h1, h2, keeper) of the keys that at least min_docs distinct ids hold. Both forms combine
+    """(h1, h2, keeper, lines) of the keys that at least min_docs distinct ids hold. Both forms combine
     on the map side, so a line that a third of all documents share is a row per task."""
     keys = lines.groupBy("h1", "h2")
     if min_docs == 2:
-        return keys.agg(F.min("_id").alias("keeper"), F.max("_id").alias("_last")).filter("keeper <> _last").drop("_last")
-    return lines.filter("_id is not null").select("h1", "h2", "_id").distinct().groupBy("h1", "h2").agg(F.min("_id").alias("keeper"), F.count("_id").alias("_n")).filter(F.col("_n") >= min_docs).drop("_n")
+        return keys.agg(F.min("_id").alias("keeper"), F.max("_id").alias("_last"), F.count(F.lit(1)).alias("lines")).filter("keeper <> _last").drop("_last")
+    each = lines.filter("_id is not null").groupBy("h1", "h2", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    found = each.groupBy("h1", "h2").agg(F.min("_id").alias("keeper"), F.count("_id").alias("_docs"), F.sum("_n").alias("lines"))
+    return found.filter(F.col("_docs") >= min_docs).drop("_docs")
+
+
+def with_keeper(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """lines whose key is among keys, with its keeper. Of the keys, those with more than a millionth of
+    all lines are a broadcast table: there are at most MOST_FREQUENT of them."""
+    often = F.col("lines") > max(LEAST_FREQUENT, lines.count() // MOST_FREQUENT)
+    frequent = F.broadcast(keys.filter(often).select("h1", "h2", F.col("keeper").alias("_often")))
+    marked = lines.join(frequent, ["h1", "h2"], "left")
+    rest = marked.filter("_often is null").drop("_often").join(keys.filter(~often).select("h1", "h2", "keeper").hint("merge"), ["h1", "h2"])
+    return marked.filter("_often is not null").withColumnRenamed("_often", "keeper").unionByName(rest)
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: list[str] | None = None) -> DataFrame:
@@ -46,7 +64,9 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = source.select("_id", F.xxhash64("_text").alias("_version"), F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line"))
     keyed = keyed.select("_id", "_version", "_pos", line_key(F.col("_line")).alias("_key")).filter(F.char_length("_key") >= min_chars)
     lines = keyed.select("_id", "_version", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), "_key").alias("h2"))
-    drops = lines.join(repeated_keys(lines, min_docs), ["h1", "h2"]).filter("_id <> keeper")
+    lines = materialise(lines, "lines")
+    keys = materialise(repeated_keys(lines, min_docs), "line-keys")
+    drops = with_keeper(lines, keys).filter("_id <> keeper")
     drops = drops.groupBy("_id", "_version").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
     joined = source.withColumn("_version", F.xxhash64("_text")).join(drops, ["_id", "_version"], "left")
     # The gaps between dropped positions are slices, so a document costs linear time. The lambda
