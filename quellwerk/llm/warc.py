@@ -8,7 +8,8 @@ is the response, the others are revisits that refer to it.
 
 Defined cases: null html is an empty payload; a null url is written as "unknown:"; spaces and
 control characters of a url are percent-encoded; a null page id is lower than any other and comes
-back as null; repeated rows that tie for the largest page id are all responses; a header line that
+back as null; repeated rows that tie for the largest page id are all responses, each with an identifier
+of its own, as it comes from its place in its archive; a header line that
 does not parse is skipped, and a record cut off by the end of its file keeps the bytes there are.
 Only the id, url and html columns of pages are read. Payloads are UTF-8 text, as the files are
 written by Spark's text writer (one gzip stream a file).
@@ -24,10 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellwerk.llm.common import binary, scratch_path, small_batches
+from quellwerk.llm.common import binary, broadcast_if_small, materialise, scratch_path, small_batches
 
 #: Field names of the two versions of ARC header lines (fixed by the format).
 ARC_FIELDS = {
@@ -93,7 +95,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     plain = pages.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{url_col}`").cast("string").alias("u"), F.col(f"`{html_col}`").alias("h"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             held, size = [], 0
             for k, (i, u, h) in enumerate(zip(batch.column("i").to_pylist(), batch.column("u").to_pylist(), binary(batch.column("h")), strict=True)):
@@ -101,7 +103,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 size += len(held[-1][2])
                 if size >= file_bytes or k == batch.num_rows - 1:
                     turn += 1
-                    name = f"capture-{turn:05d}.arc"
+                    name = f"capture-{part:06d}-{turn:05d}.arc"
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, 1 + turn % 2, date, held)], pa.binary())], ["name", "content"])
                     held, size = [], 0
 
@@ -124,15 +126,15 @@ def convert_arc(archives: DataFrame) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
-            for content in batch.column("content"):
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for header, body in arc_records(content.as_py()):
+                for place, (header, body) in enumerate(arc_records(content.as_py())):
                     head, gap, payload = body.partition(b"\r\n\r\n")
                     if not (body.startswith(b"HTTP/") and gap):
                         head, gap, payload = b"", b"", body
                     page = re.search(rb"(?mi)^X-Page-Id: (-?\d+)\r?$", head + b"\r")
                     digest, date = base32_sha1(payload), warc_date(header["Archive-date"])
-                    identity = uuid.uuid5(_IDS, f"{page and page[1].decode()} {header['URL']} {date} {digest}")
+                    identity = uuid.uuid5(_IDS, f"{name} {place} {header['URL']} {date} {digest}")
                     rows.append((f"<urn:uuid:{identity}>", header["URL"], header["IP-address"], date, (head + gap).decode("utf-8", "replace"), payload, len(payload), digest, int(page[1]) if page else None))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
                 columns[5] = pa.array(columns[5], pa.binary()).cast(pa.string())
@@ -146,43 +148,71 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+#: Text that one row of the writer holds at least, unless a file ends; a file has so many rows.
+CHUNK_BYTES, CHUNKS_A_FILE = 4 << 20, 8
+#: Payloads repeated more often are looked up in a broadcast table of at most MOST_FREQUENT rows.
+LEAST_FREQUENT, MOST_FREQUENT = 1000, 1 << 18
+
+
 def _render(records: DataFrame) -> DataFrame:
-    """One row of text per WARC record; each partition opens with a warcinfo record. The last line
-    end of a record is left to the text writer."""
+    """Rows of text, each of whole WARC records, of CHUNK_BYTES or of one longer record; a row opens
+    with a warcinfo record. The last line end of a row is left to the text writer."""
+
+    def head(r: dict) -> bytes:
+        about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_IDS, 'info ' + r['record_id'])}>"), ("WARC-Date", r["warc_date"]), ("Content-Type", "application/warc-fields")]
+        return warc_record(about, b"software: quellwerk\r\nformat: WARC File Format 1.1\r\n")
+
+    def one(r: dict, payload: bytes) -> bytes:
+        revisit = r["response_id"] is not None
+        block = r["http_header"].encode() + (b"" if revisit else payload)
+        kind = "revisit" if revisit else "response" if r["http_header"] else "resource"
+        shown = "" if r["page_id"] is None else str(r["page_id"])
+        headers = [("WARC-Type", kind), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("Content-Type", "application/http; msgtype=response" if r["http_header"] else "text/html"), ("WARC-Block-Digest", "sha1:" + base32_sha1(block)), ("WARC-Payload-Digest", "sha1:" + r["payload_digest"]), ("X-Page-Id", shown), ("X-Payload-Length", str(r["payload_bytes"]))]
+        if revisit:
+            headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", r["response_record"]), ("X-Refers-To-Page-Id", str(r["response_id"]))]
+        return warc_record(headers, block)
+
+    def row(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary()).cast(pa.string())], ["value"])
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = False
+        held, size = [], 0
         for batch in batches:
-            out = []
             columns = {n: batch.column(n).to_pylist() for n in batch.schema.names if n != "payload"}
             for i, payload in enumerate(binary(batch.column("payload"))):
                 r = {n: c[i] for n, c in columns.items()}
-                if not opened:
-                    out.append(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_IDS, 'info ' + r['record_id'])}>"), ("WARC-Date", r["warc_date"]), ("Content-Type", "application/warc-fields")], b"software: quellwerk\r\nformat: WARC File Format 1.1\r\n"))
-                    opened = True
-                shown = "" if r["page_id"] is None else str(r["page_id"])
-                revisit = r["response_id"] is not None
-                block = r["http_header"].encode() + (b"" if revisit else payload.as_py())
-                kind = "revisit" if revisit else "response" if r["http_header"] else "resource"
-                headers = [("WARC-Type", kind), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("Content-Type", "application/http; msgtype=response" if r["http_header"] else "text/html"), ("WARC-Block-Digest", "sha1:" + base32_sha1(block)), ("WARC-Payload-Digest", "sha1:" + r["payload_digest"]), ("X-Page-Id", shown), ("X-Payload-Length", str(r["payload_bytes"]))]
-                if revisit:
-                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", r["response_record"]), ("X-Refers-To-Page-Id", str(r["response_id"]))]
-                out.append(warc_record(headers, block))
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary()).cast(pa.string())], ["value"])
+                made = one(r, payload.as_py())
+                if held and size + len(made) > CHUNK_BYTES:
+                    yield row(held)
+                    held, size = [], 0
+                if not held:
+                    held.append(head(r))
+                held.append(made)
+                size += len(made)
+        if held:
+            yield row(held)
 
     return records.mapInArrow(render, "value string")
 
 
-def write_warc(records: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
+def write_warc(records: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes RECORD_SCHEMA rows as gzipped WARC files. Payloads are compared by digest and length;
-    their largest page ids are found first, from rows without payload, and payloads move once."""
-    keys = records.select("payload_digest", "payload_bytes", "page_id", "record_id").filter(F.col("payload_bytes") >= min_bytes)
+    their largest page ids are found first, from rows without payload, and payloads move once. A
+    file holds CHUNKS_A_FILE rows of text, so its bytes are bounded but for longer records."""
+    keys = materialise(records.select("payload_digest", "payload_bytes", "page_id", "record_id").filter(F.col("payload_bytes") >= min_bytes), "warc-keys")
     largest = keys.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.max(F.struct("page_id", "record_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    mean = records.agg(F.avg("payload_bytes").alias("b")).first().b or 0
-    joined = records.join(largest.hint("merge"), (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    repeats = ~F.col("page_id").eqNullSafe(F.col("_first.page_id")) & F.col("_first").isNotNull()
-    typed = joined.select(*records.columns, F.when(repeats, F.col("_first.page_id")).alias("response_id"), F.when(repeats, F.col("_first.record_id")).alias("response_record"))
-    _render(typed).write.option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 1000)))).text(path)
+    largest = materialise(largest.filter("_n > 1"), "warc-repeats")
+    # The most repeated payloads are a broadcast table of bounded size; their records then need no
+    # second look, and are dealt by their own ids.
+    often = F.col("_n") > max(LEAST_FREQUENT, keys.count() // MOST_FREQUENT)
+    same = (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    marked = records.join(F.broadcast(largest.filter(often)), same, "left").withColumnRenamed("_first", "_often").drop("_digest", "_bytes", "_n")
+    key = F.when(F.col("_often").isNull(), F.col("payload_digest")).otherwise(F.col("record_id"))
+    joined = marked.join(broadcast_if_small(largest.filter(~often), 160), (key == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    first = F.coalesce("_often", "_first")
+    repeats = first.isNotNull() & ~F.col("page_id").eqNullSafe(first["page_id"])
+    typed = joined.select(*records.columns, F.when(repeats, first["page_id"]).alias("response_id"), F.when(repeats, first["record_id"]).alias("response_record"))
+    _render(typed).write.option("compression", "gzip").option("maxRecordsPerFile", CHUNKS_A_FILE).text(path)
 
 
 class _Stream:
