@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="quellwerk-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -77,6 +77,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bounded_sample(rows: DataFrame, key: str, cost: Column, most: int) -> DataFrame:
+    """rows, or if their summed cost is over most, those of a share by the key's hash that costs about
+    half of it, and never more than most. For classifiers' samples only."""
+    total = rows.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("c")).first().c
+    if total <= most:
+        return rows
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
+    thin = rows.filter(place < int(most / 2 / total * (1 << 30)))
+    running = F.sum(cost).over(Window.orderBy(place, key))
+    return thin.withColumn("_c", running).filter(F.col("_c") <= most).drop("_c")
+
+
 CELLS_A_ROW = 2048
 ARRAY_SCHEMA = "chunk int, cells binary"
 

@@ -12,7 +12,8 @@ documents than those of the language's sampled documents are.
 
 Defined cases: a null text or one without letters is "und" with score 0; without learning documents
 everything is; languages tie-break by code point; documents without id belong to the remainder of
-the empty text; repeated rows are predicted alike, each in its own row; other columns are not read.
+the empty text; repeated rows are predicted alike, each in its own row, and are one row of the sample;
+texts are read whole however long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quellwerk.llm.common import array_rows, binary, materialise, remainder, small_batches, summed
+from quellwerk.llm.common import array_rows, binary, bounded_sample, materialise, remainder, small_batches, summed
 
 CELLS = 1 << 15
-#: Learning documents in the sample that fits the weights, on average at most.
-SAMPLE = 6000
+#: Learning documents in the sample that fits the weights, on average at most, and the bytes of their
+#: features.
+SAMPLE, SAMPLE_BYTES = 6000, 128 << 20
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Values of a text's features sum to about this.
 SCALE = 30.0
@@ -163,7 +165,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 7)
     both = materialise(plain.mapInArrow(read, "key long, lang string, cell binary, share binary, chunk int, cells binary"), "langid")
     frequency = summed(both.filter("chunk is not null"), CELLS, np.uint32)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    rows = sorted(both.filter("chunk is null").select("key", "lang", "cell", "share").toArrow().to_pylist(), key=lambda r: (r["key"], r["lang"]))
+    # Repeated rows are one row of the sample; long texts make it smaller.
+    sampled = both.filter("chunk is null").groupBy("key", "lang").agg(F.min("cell").alias("cell"), F.min("share").alias("share"))
+    sampled = bounded_sample(sampled, "key", F.octet_length("cell") + F.octet_length("share"), SAMPLE_BYTES)
+    rows = sorted(sampled.toArrow().to_pylist(), key=lambda r: (r["key"], r["lang"]))
     number = {lang: k for k, lang in enumerate(langs)}
     data, means, squares = [], [[] for _ in langs], [[] for _ in langs]
     for r in rows:

@@ -9,7 +9,8 @@ a term moves the more, the stronger and the surer that association is.
 Defined cases: terms are runs of digits, letters and non-ASCII, lower-cased over A-Z; a null or
 empty text has no terms and gets the bias alone; labels of a repeated id are averaged, null labels
 are left out; without any label the score is 0.5; a document without id has no label; repeated rows
-are scored alike; only the id and text are read of documents.
+are scored alike, counted each, and one row of the sample; a term of a single labelled row counts
+little; texts are read whole however long; only the id and text are read of documents.
 """
 
 from __future__ import annotations
@@ -22,21 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quellwerk.llm.common import array_rows, binary, broadcast_if_small, materialise, remainder, small_batches, summed
+from quellwerk.llm.common import array_rows, binary, bounded_sample, broadcast_if_small, materialise, remainder, small_batches, summed
 from quellwerk.llm.decontaminate import _FOLD
 from quellwerk.llm.jaccard import word_hashes
 
 CELLS = 1 << 18
 FACTORS = 8
-#: Labelled rows in the sample that fits the machine, on average at most.
-SAMPLE = 12_000
-#: Terms of fewer labelled rows keep weight 0: they are mostly chance.
-LEAST_DOCS = 4
+#: Labelled rows in the sample that fits the machine, on average at most, and the bytes of their terms.
+SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
 #: The likelihood ratio statistic at which half of a term's association with the label counts.
 EVIDENCE = 12.0
-#: Terms of a larger share of the counted rows are left out; none by default, as a frequent term may
-#: matter in a pair. Alone it has little weight, since it goes with either label.
-MOST_SHARE = 1.0
+#: Factors start with this spread, and with half of it for a term of FEW labelled rows: no term is left
+#: out, but those of few rows are mostly chance.
+SPREAD, FEW = 0.02, 8
 #: With fewer sampled rows none are held back.
 LEAST_HELD = 140
 
@@ -85,22 +84,22 @@ class FactorizationMachine:
         return float(self.bias + self.w[cells].sum(dtype=np.float64) + 0.5 * (sums @ sums - (v * v).sum(dtype=np.float64)))
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.12, l2: float = 0.05, held: np.ndarray | None = None, counts: Counts | None = None) -> None:
-        """Mini-batch AdaGrad on the logistic loss, over the terms of at least LEAST_DOCS of the
-        counted rows; counts are of the rows themselves if none are given. The held rows (every
-        seventh by default, none if there are few) choose the best epoch and must not be counted;
-        where none are held, the last epoch stands."""
+        """Mini-batch AdaGrad on the logistic loss, over the terms of the counted rows; counts are of
+        the rows themselves if none are given. The held rows (every seventh by default, none if
+        there are few) choose the best epoch and must not be counted; where none are held, the last
+        epoch stands."""
         rng = np.random.default_rng(self.seed)
         if held is None:
             held = np.arange(len(rows)) % 7 == 6 if len(rows) >= LEAST_HELD else np.zeros(len(rows), bool)
         learned, judged = np.flatnonzero(~held), np.flatnonzero(held)
         counts = counts or Counts.of([rows[i] for i in learned], labels[learned], len(self.w))
-        often = (counts.found >= LEAST_DOCS) & (counts.found <= MOST_SHARE * counts.total)
-        rows = [r[often[r]] for r in rows]
-        self.v[often] = rng.normal(0, 0.02, (int(often.sum()), self.v.shape[1]))
+        seen = np.flatnonzero(counts.found)
+        rows = [r[counts.found[r] > 0] for r in rows]
+        self.v[seen] = rng.normal(0, SPREAD, (len(seen), self.v.shape[1])) * (counts.found[seen] / (counts.found[seen] + FEW))[:, None]
         mean = float(np.clip(labels.mean(), 0.01, 0.99))
         self.bias = float(np.log(mean / (1 - mean)))
         # A term's weight is free times scale; the penalty is on free.
-        scale, free = (counts.association() * often).astype(np.float32), np.zeros_like(self.w)
+        scale, free = counts.association().astype(np.float32), np.zeros_like(self.w)
         sum_w, sum_v = np.full(len(self.w), 5.0, np.float32), np.full(self.v.shape, 5.0, np.float32)
         best = (np.inf, self.bias, self.w, self.v)
         for _ in range(epochs):
@@ -116,28 +115,38 @@ class FactorizationMachine:
         if len(judged):
             _, self.bias, self.w, self.v = best
 
-    def _step(self, rows: list[np.ndarray], labels: np.ndarray, rate: float, l2: float, scale: np.ndarray, free: np.ndarray, sum_w: np.ndarray, sum_v: np.ndarray) -> None:
+    def gradient(self, rows: list[np.ndarray], labels: np.ndarray, l2: float, scale: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+        """(cells, by free weight, by factors, by bias) of the summed logistic loss of the rows, with
+        l2 / 2 times the squares of what the cells they use hold; the bias has the mean. None if the
+        rows are empty."""
         sizes = np.array([len(r) for r in rows])
         cells, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
         if not len(cells):
-            return
+            return None
         v, x = self.v[cells], scale[cells]
         full = np.flatnonzero(sizes)
-        sums = np.zeros((len(rows), v.shape[1]), np.float32)
+        sums = np.zeros((len(rows), v.shape[1]), v.dtype)
         sums[full] = np.add.reduceat(v, (np.cumsum(sizes) - sizes)[full])
         squares = np.bincount(row, (v * v).sum(1), len(rows))
         z = self.bias + np.bincount(row, free[cells] * x, len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels).astype(np.float32)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels).astype(v.dtype)
         by_cell = np.argsort(cells, kind="stable")
         used, first = np.unique(cells[by_cell], return_index=True)
         each = g[row]
         gw = np.add.reduceat((each * x)[by_cell], first) + l2 * free[used]
         gv = np.add.reduceat((each[:, None] * (sums[row] - v))[by_cell], first) + l2 * self.v[used]
+        return used, gw, gv, float(g.mean())
+
+    def _step(self, rows: list[np.ndarray], labels: np.ndarray, rate: float, l2: float, scale: np.ndarray, free: np.ndarray, sum_w: np.ndarray, sum_v: np.ndarray) -> None:
+        found = self.gradient(rows, labels, l2, scale, free)
+        if found is None:
+            return
+        used, gw, gv, by_bias = found
         sum_w[used] += gw**2
         sum_v[used] += gv**2
         free[used] -= rate * gw / np.sqrt(sum_w[used])
         self.v[used] -= 0.1 * rate * gv / np.sqrt(sum_v[used])
-        self.bias -= 0.02 * rate * float(g.mean())
+        self.bias -= 0.02 * rate * by_bias
 
     def score(self, cells: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(cells), -30, 30))))
@@ -179,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     both = materialise(plain.mapInArrow(read, "doc_id long, y double, held boolean, terms binary, chunk int, cells binary"), "toxicity")
     counts = summed(both.filter("chunk is not null"), 2 * CELLS + 2, np.float32)
-    rows = sorted(both.filter("chunk is null").select("doc_id", "y", "held", "terms").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["terms"]))
+    # Rows that repeat an id are one row of the sample; long texts make it smaller.
+    rows = bounded_sample(both.filter("chunk is null").groupBy("doc_id").agg(F.min("y").alias("y"), F.bool_or("held").alias("held"), F.min("terms").alias("terms")), "doc_id", F.octet_length("terms"), SAMPLE_BYTES)
+    rows = sorted(rows.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     if not rows:
         return None
     machine = FactorizationMachine(seed=seed)
