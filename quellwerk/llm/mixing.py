@@ -1,14 +1,18 @@
 """Mixing sources to target weights.
 
-The words of each source are packed into fixed-length blocks. Targets share a budget by weight and
-stop at a multiple of their source's size. The slots of each source are drawn over the output
-shards by a multinomial, mapped to block numbers through the source's own pseudorandom
-permutation, and joined with the blocks by number.
+The words of each source are packed into blocks of one fixed length. Targets share a budget by weight
+and stop at a multiple of their source's size. An output shard has a fixed number of slots, and how
+many of them each source gets is one multinomial draw per shard. The draws are settled against the
+targets in this way: the chances of a shard are those of the slots that the sources have left, no
+source gets more than it has left, and the last shard takes what remains. The slots of a source are
+mapped to block numbers through its own pseudorandom permutation, and joined with the blocks by
+number; its last slot is cut to the words that its target still lacks.
 
 Defined cases: words are runs of anything but ASCII white space; a null or empty text has size 0
-and is taken 0 times; a null source is a source of its own, last in order; repeated rows are
-separate documents of equal id, told apart by nothing and so packed one after the other; an empty
-table gives an empty mix. Other columns pass through; on a clash the new ones win.
+and is taken 0 times; texts are packed whole however long; a null source is a source of its own,
+last in order; repeated rows are separate documents, packed one after the other; an empty table
+gives an empty mix. Other columns pass through, whatever their names, as only the id, the text and
+the source are read.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quellwerk.llm.common import binary, broadcast_if_small, materialise, mix64, small_batches
+from quellwerk.llm.common import BROADCAST_BYTES, binary, broadcast_if_small, materialise, mix64, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -54,16 +59,20 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return ranked.select("source", "source_size", "source_rank", target.alias("target"))
 
 
-def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A pseudorandom permutation of range(n), at the given places: a Feistel network over the next
-    power of four, walked until the value falls below n."""
+def permuted(index: np.ndarray, n: int, seed: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of range(n), or its inverse, at the given places: a Feistel network
+    over the next power of four, walked until the value falls below n."""
     half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
     mask = (np.uint64(1) << half) - np.uint64(1)
+    mixed = lambda x, k: mix64(x + np.uint64((seed * 4 + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & mask
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> half, x & mask
         for k in range(4):
-            left, right = right, left ^ (mix64(right + np.uint64((seed * 4 + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & mask)
+            if back:
+                left, right = right ^ mixed(left, 3 - k), left
+            else:
+                left, right = right, left ^ mixed(right, k)
         return (left << half) | right
 
     out = once(index.astype(np.uint64))
@@ -76,25 +85,64 @@ def _seed(rank: int, seed: int, what: str) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}/{rank}/{what}".encode()).digest()[:6], "big")
 
 
-def draw_slots(sources: DataFrame, shards: int, seed: int, tasks: int) -> DataFrame:
-    """(source_rank, shard, slot, block): which block fills which place of which shard.
-
-    The slots of a source are drawn over the shards by one multinomial, so every shard holds a
-    multinomial count of each source while the source's total is exact. Slot t takes block
-    perm(t mod blocks) of pass t div blocks; a pass uses each block once."""
-    ranges = "source_rank int, shard int, first long, slots long, blocks long"
+def slots_of(rank: int, size: int, target: float, block_words: int, seed: int) -> tuple[int, int, int]:
+    """(blocks, slots, words of the last slot) with which a source meets its target, rounded to words.
+    Only a source's last block is short, and where its last pass meets that one is known."""
+    blocks = -(-size // block_words)
+    passes, rest = divmod(round(target), size) if size else (0, 0)
+    if not rest:
+        return blocks, passes * blocks, block_words
+    lacks = blocks * block_words - size
+    place = int(permuted(np.array([blocks - 1]), blocks, _seed(rank, seed, f"pass {passes}"), back=True)[0])
+    more = -(-rest // block_words)
+    if place < more and more * block_words - lacks < rest:
+        more = -(-(rest + lacks) // block_words)
+    words = more * block_words - (lacks if place < more else 0)
+    own = block_words - (lacks if place == more - 1 else 0)
+    return blocks, passes * blocks + more, own - (words - rest)
+
+
+def shard_counts(slots: np.ndarray, shard_slots: int, seed: int) -> Iterator[np.ndarray]:
+    """How many slots each source has in each shard: a multinomial draw per shard, with chances as the
+    sources have slots left. What is drawn beyond that is drawn again among the others."""
+    left = slots.astype(np.int64).copy()
+    rng = np.random.default_rng(_seed(0, seed, "shards"))
+    while (total := int(left.sum())) > shard_slots:
+        counts = np.zeros(len(left), np.int64)
+        while (wanted := shard_slots - int(counts.sum())) > 0:
+            open_ = left - counts
+            counts = np.minimum(counts + rng.multinomial(wanted, open_ / open_.sum()), left)
+        left -= counts
+        yield counts
+    if total:
+        yield left
+
+
+def draw_slots(sources: DataFrame, shard_slots: int, seed: int, tasks: int) -> DataFrame:
+    """(source_rank, shard, slot, block, words): which block fills which place of which shard, and how
+    many of its words.
+
+    Slot t of a source takes block perm(t mod blocks) of pass t div blocks; a pass uses each block
+    once. The draws need a row per source in one task; it emits the sources that a shard has."""
+    ranges = "source_rank int, shard long, first long, slots long, blocks long, all_slots long, last_words long, block_words long"
+    kinds = [pa.int32()] + [pa.int64()] * 7
+    names = [f.split(" ")[0] for f in ranges.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 1 << 18
-        for batch in batches:
-            for s in batch.to_pylist():
-                rng = np.random.default_rng(_seed(s["source_rank"], seed, "shards"))
-                counts = rng.multinomial(s["slots"], np.full(shards, 1 / shards))
-                ends = np.cumsum(counts)
-                rows = [(s["source_rank"], k, at, min(step, int(e) - at), s["blocks"]) for k, (c, e) in enumerate(zip(counts, ends, strict=True)) for at in range(int(e - c), int(e), step)]
-                for i in range(0, len(rows), 4096):
-                    cols = list(zip(*rows[i : i + 4096], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["source_rank", "shard", "first", "slots", "blocks"])
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["source_rank"])
+        if not rows:
+            return
+        used, held = np.zeros(len(rows), np.int64), []
+        for shard, counts in enumerate(shard_counts(np.array([r["slots"] for r in rows]), shard_slots, seed)):
+            for i in np.flatnonzero(counts):
+                r = rows[i]
+                held.append((r["source_rank"], shard, int(used[i]), int(counts[i]), r["blocks"], r["slots"], r["last_words"], r["block_words"]))
+            used += counts
+            if len(held) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,22 +154,24 @@ def draw_slots(sources: DataFrame, shards: int, seed: int, tasks: int) -> DataFr
                     own = turn == p
                     block[own] = permuted(place[own], r["blocks"], _seed(r["source_rank"], seed, f"pass {p}"))
                 n = len(slot)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["source_rank"], np.int32)), pa.array(np.full(n, r["shard"], np.int32)), pa.array(slot), pa.array(block)], ["source_rank", "shard", "slot", "block"])
+                words = np.where(slot == r["all_slots"] - 1, r["last_words"], r["block_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["source_rank"], np.int32)), pa.array(np.full(n, r["shard"], np.int64)), pa.array(slot), pa.array(block), pa.array(words)], ["source_rank", "shard", "slot", "block", "words"])
 
-    dealt = sources.select("source_rank", "slots", "blocks").filter("slots > 0").mapInArrow(deal, ranges)
-    return dealt.repartition(tasks, "source_rank", "first").mapInArrow(permute, "source_rank int, shard int, slot long, block long")
+    dealt = sources.select("source_rank", "slots", "blocks", "last_words", "block_words").filter("slots > 0").coalesce(1).mapInArrow(deal, ranges)
+    return dealt.repartition(tasks, "source_rank", "first").mapInArrow(permute, "source_rank int, shard long, slot long, block long, words long")
 
 
 KEY = ("doc_id", "_tie", "_copy")
 
 
 def with_offsets(sized: DataFrame, buckets: int) -> DataFrame:
-    """Adds begin, the words of the source before this document, in order of a hash of the id.
+    """Adds begin, the words of the source before this document, in order of a hash of the id and the
+    text; equal rows stand in any order, as they are alike.
 
     A source may hold a third of all rows, so the running sum is taken in buckets of the hash: the
     totals of source and bucket are summed first, and each bucket adds up only its own rows."""
     bits = (buckets - 1).bit_length()
-    hashed = sized.withColumn("_h", F.xxhash64(*KEY)).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
+    hashed = sized.withColumn("_h", F.xxhash64("doc_id", "_tie")).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
     totals = hashed.groupBy("source_rank", "_b").agg(F.sum("size").alias("_t"))
     earlier = Window.partitionBy("source_rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("source_rank", "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_s"))
@@ -133,21 +183,25 @@ def with_offsets(sized: DataFrame, buckets: int) -> DataFrame:
 class Mix:
     """A mix of documents: the sources with their targets, and the pieces that the mix takes."""
 
-    def __init__(self, docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 1, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, least_blocks: int = 128, bucket_rows: int = 50_000):
-        """Blocks hold block_words words; a source of fewer than least_blocks such blocks has
-        shorter ones, so that the error of rounding to whole blocks stays small for it too."""
-        rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
-        copy = F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("source"))
-        self.sizes = materialise(rows.withColumn("_copy", copy), "mix-sizes")
+    def __init__(self, docs: DataFrame, block_words: int = 64, shard_slots: int = 1 << 14, seed: int = 1, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, bucket_rows: int = 50_000):
+        """Blocks hold block_words words and shards shard_slots blocks, whatever the source."""
+        self.shard_slots, self.seed = shard_slots, seed
+        # Row numbers tell repeated rows apart; the written table fixes them.
+        rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_copy"))
+        self.sizes = materialise(rows, "mix-sizes")
         per_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-        targets = source_targets(per_source, share, cap, weights)
-        targets = targets.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"source_size div {least_blocks}"))).cast("long"))
-        targets = targets.withColumn("blocks", F.expr("(source_size + block_words - 1) div block_words"))
-        slots = F.floor(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1)) + 0.5)
-        self.sources = materialise(targets.withColumn("slots", F.least(slots, F.floor(cap * F.col("blocks")))), "mix-sources")
-        totals = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first()
-        self.shards, self.seed = shards, seed
-        self.tasks = max(32, totals.slots >> 20)
+        targets = source_targets(per_source, share, cap, weights).withColumn("block_words", F.lit(block_words).cast("long"))
+
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [slots_of(r, n, t, block_words, seed) for r, n, t in zip(*[batch.column(c).to_pylist() for c in ("source_rank", "source_size", "target")], strict=True)]
+                columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "blocks", "slots", "last_words"])
+
+        schema = T.StructType([*targets.schema.fields, *[T.StructField(n, T.LongType()) for n in ("blocks", "slots", "last_words")]])
+        self.sources = materialise(targets.mapInArrow(plan, schema), "mix-sources")
+        total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first().slots
+        self.tasks = max(32, total >> 20)
         self.buckets = 1 << max(6, (self.sizes.count() // bucket_rows).bit_length())
 
     def documents(self) -> DataFrame:
@@ -156,25 +210,36 @@ class Mix:
         return self.sizes.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
 
     def pieces(self) -> DataFrame:
-        """(doc_id, _tie, _copy, source_rank, block, from_word, n_words): blocks cut at documents."""
+        """(doc_id, _tie, _copy, source_rank, block, in_block, from_word, n_words): blocks cut at
+        documents."""
         placed = with_offsets(self.documents().filter("size > 0"), self.buckets)
         cut = placed.withColumn("block", F.explode(F.sequence(F.expr("begin div block_words"), F.expr("(begin + size - 1) div block_words"))))
         low = F.greatest(F.col("block") * F.col("block_words"), F.col("begin"))
         high = F.least((F.col("block") + 1) * F.col("block_words"), F.col("begin") + F.col("size"))
-        return cut.select(*KEY, "source_rank", "block", (low - F.col("begin")).alias("from_word"), (high - low).alias("n_words"))
+        return cut.select(*KEY, "source_rank", "block", (low - F.col("block") * F.col("block_words")).alias("in_block"), (low - F.col("begin")).alias("from_word"), (high - low).alias("n_words"))
 
     def slots(self) -> DataFrame:
-        return draw_slots(self.sources, self.shards, self.seed, self.tasks)
+        return draw_slots(self.sources, self.shard_slots, self.seed, self.tasks)
 
     def placements(self) -> DataFrame:
         """The mix itself: (shard, slot, source_rank, block, doc_id, from_word, n_words)."""
-        return self.slots().hint("merge").join(self.pieces(), ["source_rank", "block"]).drop("_tie", "_copy")
+        placed = self.slots().hint("merge").join(self.pieces(), ["source_rank", "block"])
+        placed = placed.withColumn("n_words", F.least("n_words", F.col("words") - F.col("in_block"))).filter("n_words > 0")
+        return placed.drop("_tie", "_copy", "words", "in_block")
 
     def taken_pieces(self) -> DataFrame:
-        """pieces() that the mix takes, with times, the number of its passes that take them."""
-        uses = self.slots().groupBy("source_rank", "block").agg(F.count(F.lit(1)).alias("times"))
+        """pieces() that the mix takes, with times, the number of its passes that take them whole, and
+        part, the words that one more pass takes of them."""
+        whole = F.col("words") == F.col("block_words")
+        slots = self.slots().join(F.broadcast(self.sources.select("source_rank", "block_words")) if self.few_sources() else self.sources.select("source_rank", "block_words"), "source_rank")
+        uses = slots.groupBy("source_rank", "block").agg(F.count_if(whole).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("words"))), F.lit(0)).alias("_upto"))
         # The planner guesses the slots' size from the few sources; they must not be broadcast.
-        return self.pieces().join(uses.hint("merge"), ["source_rank", "block"])
+        joined = self.pieces().join(uses.hint("merge"), ["source_rank", "block"])
+        part = F.greatest(F.lit(0), F.least(F.col("n_words"), F.col("_upto") - F.col("in_block")))
+        return joined.withColumn("part", part).drop("_upto", "in_block").filter("times > 0 or part > 0")
+
+    def few_sources(self) -> bool:
+        return self.sources.count() * 200 <= BROADCAST_BYTES
 
 
 def mixed_texts(docs: DataFrame, block_words: int = 1024, **options) -> DataFrame:
@@ -182,11 +247,12 @@ def mixed_texts(docs: DataFrame, block_words: int = 1024, **options) -> DataFram
     text is the document's runs of taken words, as they stand in it, joined by line ends; a pass
     that takes the whole document leaves its text as it is. n_chars, where present, follows."""
     mix = Mix(docs, block_words=block_words, **options)
-    runs = mix.taken_pieces().groupBy("doc_id", "_tie").agg(F.collect_list(F.struct("_copy", "from_word", "n_words", "times")).alias("_pieces"))
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_tie"), F.col("text").alias("_text"))
-    if mix.sizes.agg(F.max("_copy")).first()[0] not in (None, 1):  # one row stands for its repetitions
-        rows = rows.dropDuplicates(["doc_id", "_tie"])
-    joined = rows.join(runs.withColumnRenamed("doc_id", "_id").withColumnRenamed("_tie", "_t"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
+    runs = mix.taken_pieces().groupBy(*KEY).agg(F.collect_list(F.struct("from_word", "n_words", "times", "part")).alias("_pieces")).select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), "_pieces")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_tie"), F.col("text").alias("_text"))
+    repeated = mix.sizes.groupBy("doc_id", "_tie").count().filter("count > 1")
+    if not repeated.isEmpty():  # one row stands for its repetitions, of which each has its own pieces
+        rows = rows.groupBy("_key", "_tie").agg(F.min_by(F.struct("_row", "_text"), F.xxhash64("_row")).alias("_r")).select("_r._row", "_key", "_tie", "_r._text")
+    joined = rows.join(runs, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
     plain = joined.select(*[F.col(f"_row.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "_text", "_pieces")
     names, schema = plain.columns[:-2], plain.drop("_text", "_pieces").schema
     text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -215,30 +281,29 @@ _SPACE[[32, *range(9, 14)]] = True
 
 
 def _runs(text: bytes, pieces: list[dict]) -> Iterator[bytes]:
-    """The text of every copy and pass that takes some of it."""
+    """The text of every pass that takes some of it."""
     gap = np.concatenate(([True], _SPACE[np.frombuffer(text, np.uint8)], [True]))
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
-    for copy in sorted({p["_copy"] for p in pieces}):
-        own = sorted((p["from_word"], p["n_words"], p["times"]) for p in pieces if p["_copy"] == copy)
-        for turn in range(1, max(p[2] for p in own) + 1):
-            spans: list[list[int]] = []
-            for at, n, times in own:
-                if times >= turn:
-                    if spans and spans[-1][1] == at:
-                        spans[-1][1] = at + n
-                    else:
-                        spans.append([at, at + n])
-            if spans == [[0, len(starts)]]:
-                yield text
-            else:
-                yield b"\n".join(text[starts[a] : ends[b - 1]] for a, b in spans)
+    own = sorted((p["from_word"], p["n_words"], p["times"], p["part"]) for p in pieces)
+    for turn in range(1, max(p[2] + (p[3] > 0) for p in own) + 1):
+        spans: list[list[int]] = []
+        for at, n, times, part in own:
+            n = n if turn <= times else part if turn == times + 1 else 0
+            if n and spans and spans[-1][1] == at:
+                spans[-1][1] = at + n
+            elif n:
+                spans.append([at, at + n])
+        if spans == [[0, len(starts)]]:
+            yield text
+        elif spans:
+            yield b"\n".join(text[starts[a] : ends[b - 1]] for a, b in spans)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes of it."""
     mix = Mix(docs)
-    taken = mix.taken_pieces().groupBy(*KEY).agg(F.sum(F.col("times") * F.col("n_words")).alias("_taken"))
+    taken = mix.taken_pieces().groupBy(*KEY).agg(F.sum(F.col("times") * F.col("n_words") + F.col("part")).alias("_taken"))
     documents = mix.documents()
     out = documents.join(taken.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), F.col("_copy").alias("_c"), "_taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")) & (F.col("_copy") == F.col("_c")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quellwerk.llm import components, decontaminate, jaccard, langid, line_dedup, mixing, neighbours, quality, sharding, toxicity, warc
+from quellwerk.llm import common, components, decontaminate, jaccard, langid, line_dedup, mixing, neighbours, quality, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -250,12 +250,7 @@ def test_factorization_machine_learns_pairs():
         rows.append(np.unique(np.concatenate((noise, [1] if a else [2], [3] if b else [4]))))
         labels.append(float(a == b))
     machine = toxicity.FactorizationMachine()
-    toxicity_share = toxicity.MOST_SHARE
-    toxicity.MOST_SHARE = 1.0
-    try:
-        machine.fit(rows, np.array(labels), epochs=40, l2=1e-4, rate=0.6)
-    finally:
-        toxicity.MOST_SHARE = toxicity_share
+    machine.fit(rows, np.array(labels))
     right = np.mean([(machine.score(r) > 0.5) == (y > 0.5) for r, y in zip(rows, labels, strict=True)])
     assert right > 0.9
 
@@ -273,6 +268,79 @@ def test_pairs_are_learnt_as_in_production():
     assert np.mean([(machine.score(r) > 0.5) == (y > 0.5) for r, y in zip(rows[1500:], labels[1500:], strict=True)]) > 0.9
 
 
+def test_gradients_against_finite_differences():
+    """The loss written out pair by pair, in double precision."""
+    rng = np.random.default_rng(2)
+    machine = toxicity.FactorizationMachine(cells=12, factors=3)
+    machine.v = rng.normal(0, 0.5, (12, 3))
+    machine.bias = 0.2
+    free, scale, l2 = rng.normal(0, 0.5, 12), rng.uniform(0, 2, 12), 0.3
+    rows = [np.array([1, 4, 7]), np.array([4]), np.array([], int), np.array([0, 1, 2, 3, 4, 5])]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss(free, v, bias):
+        total = 0.0
+        for row, y in zip(rows, labels, strict=True):
+            z = bias + sum(free[i] * scale[i] for i in row) + sum(v[i] @ v[j] for a, i in enumerate(row) for j in row[a + 1 :])
+            total += np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z))
+        return total
+
+    used, gw, gv, by_bias = machine.gradient(rows, labels, l2, scale, free)
+    assert used.tolist() == [0, 1, 2, 3, 4, 5, 7]
+    step = 1e-6
+    for k, i in enumerate(used):
+        up, down = free.copy(), free.copy()
+        up[i] += step
+        down[i] -= step
+        assert gw[k] == pytest.approx((loss(up, machine.v, 0.2) - loss(down, machine.v, 0.2)) / (2 * step) + l2 * free[i], abs=1e-5)
+        for f in range(3):
+            up, down = machine.v.copy(), machine.v.copy()
+            up[i, f] += step
+            down[i, f] -= step
+            assert gv[k, f] == pytest.approx((loss(free, up, 0.2) - loss(free, down, 0.2)) / (2 * step) + l2 * machine.v[i, f], abs=1e-5)
+    assert by_bias * len(rows) == pytest.approx((loss(free, machine.v, 0.2 + step) - loss(free, machine.v, 0.2 - step)) / (2 * step), abs=1e-5)
+
+
+def test_ftrl_steps_against_a_literal_one():
+    """Each coordinate by the published update, one at a time."""
+    rng = np.random.default_rng(4)
+    model = langid.FtrlSoftmax(6, 3, l1=1.0)
+    z, n = np.zeros((7, 3)), np.zeros((7, 3))
+
+    def weight(i, k):
+        if abs(z[i, k]) <= model.l1:
+            return 0.0
+        return -(z[i, k] - np.sign(z[i, k]) * model.l1) / ((model.beta + np.sqrt(n[i, k])) / model.alpha + model.l2)
+
+    for _ in range(50):
+        cells = np.sort(rng.choice(6, 3, replace=False))
+        values, label = rng.uniform(0, 3, 3), int(rng.integers(3))
+        model.learn(cells, values, label)
+        x = dict(zip(cells.tolist(), values.tolist(), strict=True)) | {6: 1.0}
+        logits = [sum(weight(i, k) * v for i, v in x.items()) for k in range(3)]
+        p = [np.exp(t) / sum(np.exp(u) for u in logits) for t in logits]
+        old = {(i, k): weight(i, k) for i in x for k in range(3)}
+        for (i, k), w in old.items():
+            g = (p[k] - (k == label)) * x[i]
+            sigma = (np.sqrt(n[i, k] + g * g) - np.sqrt(n[i, k])) / model.alpha
+            z[i, k] += g - sigma * w
+            n[i, k] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert (model.weights() == 0).any() and np.allclose(model.weights(), [[weight(i, k) for k in range(3)] for i in range(7)])
+
+
+def test_samples_are_bounded_and_count_a_row_once(spark, monkeypatch):
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(10).alias("c"))
+    few = common.bounded_sample(rows, "k", F.col("c"), 2000)
+    assert 0 < few.count() <= 200 and sorted(few.collect()) == sorted(common.bounded_sample(rows, "k", F.col("c"), 2000).collect())
+    assert common.bounded_sample(rows, "k", F.col("c"), 10_000).count() == 1000
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400)
+    docs = spark.createDataFrame([(i % 40, f"w{i % 40} bad" if i % 2 else f"w{i % 40} good") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    assert machine.score(toxicity.terms(b"x bad")) > machine.score(toxicity.terms(b"x good"))
+
+
 def test_toxic_words_of_a_small_language_are_learnt(spark):
     """A word in 8 of some 3000 rows, which are the toxic ones of a language of 40."""
     rng = random.Random(5)
@@ -289,13 +357,53 @@ def test_toxic_words_of_a_small_language_are_learnt(spark):
 
 def test_permutation_and_targets(spark):
     for n in (1, 2, 7, 64, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+        there = mixing.permuted(np.arange(n), n, 5)
+        assert sorted(there.tolist()) == list(range(n)) and mixing.permuted(there, n, 5, back=True).tolist() == list(range(n))
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 90)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
     # budget 2400; a and the null source (weight 5 each) stop at 20 and 180; b and c share 2200 by 2 to 1
     assert {k: pytest.approx(v) for k, v in got.items()} == {"a": 20, None: 180, "b": 4400 / 3, "c": 2200 / 3}
 
 
+def test_shards_have_fixed_slots_and_totals_are_exact():
+    slots = np.array([5000, 3, 0, 1200, 900])
+    shards = list(mixing.shard_counts(slots, 500, 3))
+    assert [int(c.sum()) for c in shards] == [500] * 14 + [103] and sum(shards).tolist() == slots.tolist()
+    assert all((c >= 0).all() for c in shards) and len({int(c[0]) for c in shards[:-1]}) > 3
+    assert list(mixing.shard_counts(np.zeros(2, int), 500, 3)) == []
+
+
+def test_mix_against_a_literal_one(spark):
+    """Every source written out as words, cut into blocks, and the slots filled word by word."""
+    rng = random.Random(6)
+    texts = ["", None, " ", "one", *[" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 90))) for _ in range(90)]]
+    rows = [(i, t, "en", ["a", "b", "c", None][0 if i % 3 else rng.randrange(4)], 0) for i, t in enumerate(texts)]
+    rows += [rows[20], rows[20], (None, "x y", "en", "b", 0), (None, "x y", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mix = mixing.Mix(docs, block_words=16, shard_slots=40)
+    sources = {r.source_rank: r for r in mix.sources.collect()}
+    order = mixing.with_offsets(mix.documents().filter("size > 0"), mix.buckets).orderBy("source_rank", "begin").collect()
+    taken, shards = {}, {}
+    packed = {k: [(r.doc_id, r._tie, r._copy) for r in order if r.source_rank == k for _ in range(r["size"])] for k in sources}
+    for s in mix.slots().collect():
+        block = packed[s.source_rank][s.block * 16 : s.block * 16 + 16][: s.words]
+        shards[s.shard] = shards.get(s.shard, 0) + 1
+        for key in block:
+            taken[key] = taken.get(key, 0) + 1
+    assert sorted(shards.values())[1:] == [40] * (len(shards) - 1) and len(shards) > 3
+    for k, s in sources.items():
+        assert sum(n for key, n in taken.items() if key in set(packed[k])) == round(s.target) <= 2 * s.source_size
+    pieces = mix.taken_pieces().groupBy(*mixing.KEY).agg(F.sum(F.col("times") * F.col("n_words") + F.col("part")).alias("n")).collect()
+    assert {(r.doc_id, r._tie, r._copy): r.n for r in pieces} == taken
+    assert mix.placements().agg(F.sum("n_words")).first()[0] == sum(taken.values())
+    text = mixing.mixed_texts(docs, block_words=16, shard_slots=40)
+    assert text.agg(F.sum(mixing.count_words(F.col("text")))).first()[0] == sum(taken.values())
+    got = mixing.query(docs).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    for r in {(r.source_size, r.target) for r in got}:
+        assert sum(g.taken for g in got if (g.source_size, g.target) == r) == round(r[1])
+
+
 def test_mix_takes_near_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), "en", ["a", "b", None][i % 3], 1) for i in range(600)]
     docs = spark.createDataFrame(rows, DOCS)
