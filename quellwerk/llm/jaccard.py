@@ -17,12 +17,17 @@ linked set would hold such a shingle in its prefix, if at all. Last, the second
 sketches of the whole sets, of fixed size: every shingle flips one bit, so two sketches differ in no
 more bits than the sets do in shingles. That rules out copies that differ a little too much.
 
+What belongs to a list is found per part of it: a shingle whose counter is far above the mean has its
+list dealt to several parts, by the class, and the parts' results are put together. So no task
+meets a whole long list; in the second round one side of it meets all parts of the other, each in
+a task of its own.
+
 Defined cases: words are runs of anything but ASCII white space, lower-cased over A-Z only; fewer
 words than a shingle are one shingle; without words, or with a null text, a document has an empty
 set and links with nothing; rows of one id are one document; a document without id gets its links,
 and its component is the smallest id in it, or null; ties cannot occur (the measure is an exact
-fraction); an empty table gives no rows. Sets are told apart by 64-bit fingerprints. Other columns
-pass through removal untouched.
+fraction); texts are read whole however long; an empty table gives no rows. Sets are told apart by
+128-bit fingerprints, of which 64 name the class. Other columns pass through removal untouched.
 """
 
 from __future__ import annotations
@@ -40,6 +45,11 @@ from quellwerk.llm.components import components
 #: Counters of the frequency sketch. Their number bounds memory and the broadcast; collisions only
 #: make the order less apt, never wrong.
 CELLS = 1 << 18
+#: A list has a part for every so many occurrences of its counter, or every so many times the mean of
+#: all counters; in the second round it has at most MOST_PARTS.
+PART, PART_MEANS, MOST_PARTS = 1000, 4, 64
+#: Bits of the map of wanted classes per class, and its largest size.
+BITS_A_CLASS, MOST_BITS = 16, 1 << 30
 FRAGMENTS = 8
 #: A prefix is this much longer than it need be to share one shingle; in return pairs to be counted
 #: must share that many more. Both follow from the similarity, so no link is lost.
@@ -134,10 +144,46 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return out[new]
 
 
-def fingerprint(own: np.ndarray) -> int:
-    """Tells sets apart: a sum of mixed members, mixed with their number."""
-    total = np.add.reduce(mix64(own ^ _ODD)) + np.uint64(len(own))
-    return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
+def fingerprints(own: np.ndarray) -> tuple[int, int]:
+    """Two that tell sets apart: sums of mixed members, mixed with their number."""
+    n = np.uint64(len(own))
+    sums = np.array([np.add.reduce(mix64(own ^ _ODD)) + n, np.add.reduce(mix64(own * _ODD + np.uint64(1))) ^ n], np.uint64)
+    return tuple(mix64(sums).view(np.int64).tolist())
+
+
+class Order:
+    """The global order of shingles by the counters of their cells, the parts of their lists, and the
+    names of classes."""
+
+    def __init__(self, counts: np.ndarray, clashes: frozenset[int] = frozenset()):
+        self.counts, self.clashes = counts, clashes
+        # Ranks instead of counts, so that no count is too large for the order.
+        self.rank = np.unique(counts, return_inverse=True)[1].astype(np.uint64)
+        self.parts = np.maximum(1, np.ceil(counts / max(PART, PART_MEANS * counts.mean()))).astype(np.int64)
+
+    def keys(self, own: np.ndarray) -> np.ndarray:
+        """Places in the order, rare shingles first; equal ranks keep the order of the hash."""
+        return (self.rank[cells_of(own)] << np.uint64(40)) | (own >> np.uint64(24))
+
+    def pivots(self) -> np.ndarray:
+        """Cuts the order into FRAGMENTS parts that hold about as many shingle occurrences."""
+        ranked = np.sort(self.rank)
+        mass = np.cumsum(np.sort(self.counts.astype(np.float64)))
+        wanted = mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+        value = ranked[np.minimum(np.searchsorted(mass, wanted), len(ranked) - 1)]
+        low, high = np.searchsorted(ranked, value, "left"), np.searchsorted(ranked, value, "right")
+        before = np.where(low > 0, mass[np.maximum(low, 1) - 1], 0)
+        share = np.clip((wanted - before) / np.maximum(mass[np.minimum(high, len(mass)) - 1] - before, 1), 0, 1)
+        return (value << np.uint64(40)) + (share * ((1 << 40) - 1)).astype(np.uint64)
+
+    def name(self, own: np.ndarray) -> int:
+        """The class of a set: its first fingerprint, or the second where different sets share that."""
+        first, second = fingerprints(own)
+        return second if first in self.clashes else first
+
+
+def cells_of(own: np.ndarray) -> np.ndarray:
+    return (own & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -150,10 +196,9 @@ def _as_long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def survey(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts. The documents as (doc_id, cid, n, sketch): their class, null if the
-    set is empty, the size of the set and its parity sketch; and how often the shingles of each cell
-    occur in them all."""
+def survey(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Order]:
+    """One pass over the texts. The documents as (doc_id, cid, n), cid being null if the set is empty;
+    the classes as (cid, least, sketch), the smallest id and the parity sketch; and the order."""
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = pa.int64() if dict(plain.dtypes)["doc_id"] == "bigint" else None
 
@@ -161,90 +206,96 @@ def survey(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Data
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             sets = [shingles(text.as_py(), size) for text in binary(batch.column("text"))]
-            cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if sets else 0
+            cells += np.bincount(cells_of(np.concatenate(sets)), minlength=CELLS) if sets else 0
             n = batch.num_rows
             words = SKETCH // 64
             sketches = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *map(sketch, sets)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sketches, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            prints = [fingerprints(s) if len(s) else (None, None) for s in sets]
+            first, second = (pa.array([p[i] for p in prints], pa.int64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), first, second, pa.array([len(s) for s in sets], pa.int64()), sketches, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         chunk, values = array_rows(cells, np.uint32)
         n = len(chunk)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(chunk, pa.int32()), pa.array(values, pa.binary())], names)
-
-    names = ["doc_id", "cid", "n", "sketch", "chunk", "cells"]
-    both = materialise(plain.mapInArrow(read, "doc_id long, cid long, n long, sketch array<long>, chunk int, cells binary"), "sets")
-    frequency = summed(both.filter("chunk is not null"), CELLS, np.uint32)
-    return both.filter("chunk is null").select("doc_id", "cid", "n", "sketch"), np.minimum(frequency, (1 << 24) - 1).astype(np.uint32)
-
-
-def order_keys(own: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """Places in the global order, rare shingles first; equal places keep the order of the hash."""
-    return (frequency[(own & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24))
-
-
-def pivots(frequency: np.ndarray) -> np.ndarray:
-    """Cuts the global order into FRAGMENTS parts that hold about as many shingle occurrences."""
-    ranked = np.sort(frequency.astype(np.float64))
-    mass = np.cumsum(ranked)
-    wanted = mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
-    value = ranked[np.minimum(np.searchsorted(mass, wanted), len(ranked) - 1)]
-    low, high = np.searchsorted(ranked, value, "left"), np.searchsorted(ranked, value, "right")
-    before = np.where(low > 0, mass[np.maximum(low, 1) - 1], 0)
-    share = np.clip((wanted - before) / np.maximum(mass[np.minimum(high, len(mass)) - 1] - before, 1), 0, 1)
-    return (value.astype(np.uint64) << np.uint64(40)) + (share * ((1 << 40) - 1)).astype(np.uint64)
-
-
-def postings(docs: DataFrame, size: int, num: int, den: int, text_col: str, frequency) -> DataFrame:
-    """(h, cid, size_at): the prefix of every class, size_at holding the size of the set in its upper
-    and the shingle's place in the order of the set in its lower half. A task emits a class once,
-    so copies add little."""
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *[pa.nulls(n, pa.int64()) for _ in range(3)], pa.nulls(n, pa.list_(pa.int64())), pa.array(chunk, pa.int32()), pa.array(values, pa.binary())], names)
+
+    names = ["doc_id", "cid", "other", "n", "sketch", "chunk", "cells"]
+    both = materialise(plain.mapInArrow(read, "doc_id long, cid long, other long, n long, sketch array<long>, chunk int, cells binary"), "sets")
+    counts = summed(both.filter("chunk is not null"), CELLS, np.uint32)
+    rows = both.filter("chunk is null")
+    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.min("other").alias("other"), F.max("other").alias("_last"))
+    classes = materialise(classes, "classes")
+    # Of n sets about n * n / 2 ** 65 share a fingerprint: none or a handful, at any size there is.
+    clashes = frozenset(r.cid for r in classes.filter("other <> _last").select("cid").collect())
+    if clashes:
+        rows = rows.withColumn("cid", F.when(F.col("cid").isin(*clashes), F.col("other")).otherwise(F.col("cid")))
+        classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))
+    return rows.select("doc_id", "cid", "n"), classes.select("cid", "least", "sketch"), Order(counts, clashes)
+
+
+def postings(docs: DataFrame, size: int, num: int, den: int, text_col: str, shared) -> DataFrame:
+    """(h, s, k, cid, size_at): the prefix of every class: the shingle, the part of its list and their
+    number, and in size_at the size of the set in the upper and the shingle's place in the order of
+    the set in the lower half. A task emits a class once, so copies add little."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = frequency.value, set()
+        order, seen = shared.value, set()
         for batch in batches:
             heads, ids, sizes = [], [], []
             for text in binary(batch.column(0)):
                 own = shingles(text.as_py(), size)
-                if not len(own) or (cid := fingerprint(own)) in seen:
+                if not len(own) or (cid := order.name(own)) in seen:
                     continue
                 seen.add(cid)
                 least = -(-num * len(own) // den)
                 length = len(own) - least + min(SHARED, least)
-                heads.append(own[np.argsort(order_keys(own, order), kind="stable")[:length]])
+                heads.append(own[np.argsort(order.keys(own), kind="stable")[:length]])
                 ids.append(cid)
                 sizes.append(len(own))
             if heads:
                 each = [len(x) for x in heads]
                 place = np.concatenate([np.arange(k) for k in each])
-                yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(heads)), pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array((np.repeat(np.array(sizes, np.int64), each) << 32) | place)], ["h", "cid", "size_at"])
+                h = np.concatenate(heads)
+                k = order.parts[cells_of(h)]
+                cids = np.repeat(np.array(ids, np.int64), each)
+                yield pa.RecordBatch.from_arrays([_as_long(h), pa.array((cids % k).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(cids), pa.array((np.repeat(np.array(sizes, np.int64), each) << 32) | place)], ["h", "s", "k", "cid", "size_at"])
+
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(emit, "h long, s int, k int, cid long, size_at long")
+
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(emit, "h long, cid long, size_at long")
+def put_together(parts: DataFrame, low: list[str], high: list[str] | None = None) -> DataFrame:
+    """parts, whose columns low and high hold a minimum and a maximum of each part of a list, with those
+    of the whole list. Lists of one part stay as they are."""
+    several = parts.filter("k > 1")
+    whole = several.groupBy("h", "k").agg(*[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high or []])
+    whole = whole.select("h", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"), *low, *(high or []))
+    joined = several.drop(*low, *(high or [])).join(whole, ["h", "s"])
+    return parts.filter("k = 1").unionByName(joined.select(*parts.columns))
 
 
-def segments(docs: DataFrame, pairs: DataFrame, size: int, text_col: str, frequency) -> DataFrame:
+def segments(docs: DataFrame, pairs: DataFrame, size: int, text_col: str, shared) -> DataFrame:
     """(cid, f, hs): the sets of the classes in pairs, cut into fragments of the global order.
 
-    Which classes are wanted reaches the tasks as a bit map of fixed size. Its false hits are
-    rows too many, which the join with the pairs leaves out."""
-    bits = 1 << 26
+    Which classes are wanted reaches the tasks as a bit map, of a size that follows from their number
+    and is bounded. Its false hits are rows too many, which the join with the pairs leaves out."""
+    bits = min(MOST_BITS, max(1 << 20, 1 << (2 * pairs.count() * BITS_A_CLASS).bit_length()))
     word = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.pmod("cid", F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).toArrow()
     marks = np.zeros(bits >> 6, np.int64)
     marks[word.column("w").to_numpy()] = word.column("v").to_numpy()
     marked = docs.sparkSession.sparkContext.broadcast(marks)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen, flags = frequency.value, set(), marked.value
-        cuts = pivots(order)
+        order, seen, flags = shared.value, set(), marked.value
+        cuts = order.pivots()
         for batch in batches:
             cids, parts, members = [], [], []
             for text in binary(batch.column(0)):
                 own = shingles(text.as_py(), size)
-                if not len(own) or (cid := fingerprint(own)) in seen:
+                if not len(own) or (cid := order.name(own)) in seen:
                     continue
                 bit = cid % bits
                 if not (int(flags[bit >> 6]) >> (bit & 63)) & 1:
                     continue
                 seen.add(cid)
-                part = np.searchsorted(cuts, order_keys(own, order), "right")
+                part = np.searchsorted(cuts, order.keys(own), "right")
                 for f in np.unique(part):
                     cids.append(cid)
                     parts.append(int(f))
@@ -280,18 +331,18 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     """(doc_id, n_shingles, component_id) per row of docs; sets link when Jaccard >= num / den."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows, counts = survey(docs, size, id_col, text_col)
-    frequency = spark.sparkContext.broadcast(counts)
-    of_shingle = Window.partitionBy("h")
-    lists = postings(docs, size, num, den, text_col, frequency).withColumn("_low", F.min("cid").over(of_shingle)).withColumn("_high", F.max("cid").over(of_shingle))
-    lists = lists.filter("_low <> _high").select("h", "cid", *_size_at("size_at", "n", "at")).dropDuplicates(["h", "cid"])
+    rows, classes, order = survey(docs, size, id_col, text_col)
+    shared, of_part = spark.sparkContext.broadcast(order), Window.partitionBy("h", "s")
+    lists = postings(docs, size, num, den, text_col, shared).withColumn("_low", F.min("cid").over(of_part)).withColumn("_high", F.max("cid").over(of_part))
+    lists = put_together(materialise(lists.filter("k > 1 or _low <> _high"), "lists"), ["_low"], ["_high"])
+    lists = lists.filter("_low <> _high").select("h", "s", "k", "cid", *_size_at("size_at", "n", "at")).dropDuplicates(["h", "s", "cid"])
     # Places of a prefix that are in no list hold shingles of that class alone.
     of_class = Window.partitionBy("cid")
     lists = lists.withColumn("lone", F.col("at") - F.row_number().over(of_class.orderBy("at")) + 1).withColumn("_odd", F.max("lone").over(of_class))
     lists = lists.filter(F.col("lone") <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
-    lists = lists.withColumn("_lead", F.min(F.struct("_odd", "cid", "n", "at", "lone")).over(of_shingle))
-    lists = lists.select("h", "cid", "n", "at", "lone", F.col("_lead.cid").alias("lead"), *[F.col(f"_lead.{k}").alias(f"lead_{k}") for k in ("n", "at", "lone")])
-    lists = materialise(lists, "postings")
+    lists = lists.withColumn("_lead", F.min(F.struct("_odd", "cid", "n", "at", "lone")).over(of_part)).drop("_odd")
+    lists = put_together(materialise(lists, "postings"), ["_lead"])
+    lists = lists.select("h", "s", "k", "cid", "n", "at", "lone", F.col("_lead.cid").alias("lead"), *[F.col(f"_lead.{c}").alias(f"lead_{c}") for c in ("n", "at", "lone")])
 
     def alike(n, at, lone, m, at_m, lone_m):
         """Whether a shingle can be one of the first SHARED that two sets of these sizes share, at
@@ -301,25 +352,23 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
         placed = (at <= n - overlap + SHARED - 1) & (at_m <= m - overlap + SHARED - 1)
         return (den * F.least(n, m) >= num * F.greatest(n, m)) & placed & (lone <= n - overlap) & (lone_m <= m - overlap)
 
-    shared = lambda n, m: F.least(F.lit(SHARED), F.ceil(num * F.least(n, m) / den))
+    common = lambda n, m: F.least(F.lit(SHARED), F.ceil(num * F.least(n, m) / den))
     stars = lists.filter("cid <> lead").filter(alike(*map(F.col, ("n", "at", "lone", "lead_n", "lead_at", "lead_lone"))))
     stars = stars.groupBy(*_paired(F.col("cid"), F.col("n"), F.col("lead"), F.col("lead_n"))).count()
-    stars = materialise(stars.filter(F.col("count") >= shared(F.col("na"), F.col("nb"))).drop("count"), "pairs")
+    stars = materialise(stars.filter(F.col("count") >= common(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     linked = lambda t: t.filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
     edge = lambda t: linked(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    count = lambda pairs: materialise(overlaps(pairs, segments(docs, pairs, size, text_col, frequency)), "overlaps")
+    count = lambda pairs: materialise(overlaps(pairs, segments(docs, pairs, size, text_col, shared)), "overlaps")
     first = count(stars)
     groups = materialise(components(edge(first)), "components")
 
-    sketches = rows.filter("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"))
-    rest = _open_pairs(lists, first, groups, sketches, num, den, alike)
-    rest = materialise(rest.filter(F.col("count") >= shared(F.col("na"), F.col("nb"))).drop("count"), "pairs")
+    rest = _open_pairs(lists, first, groups, classes.select("cid", "sketch"), num, den, alike)
+    rest = materialise(rest.filter(F.col("count") >= common(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     if not rest.isEmpty():
         second = edge(count(rest))
         if not second.isEmpty():
             groups = components(edge(first).unionByName(second))
-    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    named = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("cid", "least").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = named.join(smallest, "component").select("cid", "component_id")
     out = rows.join(by_class, "cid", "left")
@@ -331,21 +380,28 @@ def _open_pairs(lists: DataFrame, first: DataFrame, groups: DataFrame, sketches:
     distances to the list's leading class or their sketches do not rule them out there. A distance
     that was not counted lies between the bound that the sizes give and 1."""
     near = first.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
+    of_part = Window.partitionBy("h", "s")
     open_ = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    of_shingle = Window.partitionBy("h")
-    open_ = open_.withColumn("_lo", F.min("component").over(of_shingle)).withColumn("_hi", F.max("component").over(of_shingle)).filter("_lo <> _hi").drop("_lo", "_hi")
-    open_ = open_.withColumn("a", F.least("cid", "lead")).withColumn("b", F.greatest("cid", "lead")).join(near, ["a", "b"], "left")
+    open_ = open_.withColumn("_lo", F.min("component").over(of_part)).withColumn("_hi", F.max("component").over(of_part)).filter("k > 1 or _lo <> _hi")
+    open_ = open_.withColumn("a", F.least("cid", "lead")).withColumn("b", F.greatest("cid", "lead")).join(near, ["a", "b"], "left").drop("a", "b")
     bound = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
     open_ = open_.join(sketches, "cid")
-    open_ = materialise(open_.select("h", "cid", "n", "at", "lone", "sketch", "component", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    open_ = materialise(open_.select("h", "s", "k", "cid", "n", "at", "lone", "sketch", "component", "_lo", "_hi", F.coalesce("d", bound).alias("lo"), F.when(F.col("cid") == F.col("lead"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi")), "open")
+    long = put_together(open_.filter("k > 1"), ["_lo"], ["_hi"]).filter("_lo <> _hi").withColumn("k", F.least("k", F.lit(MOST_PARTS)))
+    long = materialise(long.drop("s", "_lo", "_hi"), "open-long")
     c = F.col
     slack = 1 - num / den + 1e-9
     total = c("x.n") + c("y.n")
     apart = sum((F.bit_count(c("x.sketch")[i].bitwiseXOR(c("y.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     near_enough = apart <= total - 2 * F.ceil(num * total / (num + den) - 1e-9)
     keep = (c("x.cid") < c("y.cid")) & (c("x.component") != c("y.component")) & alike(*[c(f"{t}.{k}") for t in "xy" for k in ("n", "at", "lone")]) & (c("x.lo") - c("y.hi") <= slack) & (c("y.lo") - c("x.hi") <= slack) & near_enough
-    pairs = x.join(y, (c("x.h") == c("y.h")) & keep).select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).groupBy("a", "b", "na", "nb").count()
+    of = lambda joined: joined.select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb"))
+    short = open_.filter("k = 1")
+    pairs = of(short.alias("x").join(short.alias("y"), (c("x.h") == c("y.h")) & keep))
+    # One side of a long list is dealt to parts, the other meets every part.
+    x = long.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int")).alias("x")
+    y = long.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).alias("y")
+    pairs = pairs.unionByName(of(x.join(y, (c("x.h") == c("y.h")) & (c("x.part") == c("y.part")) & keep))).groupBy("a", "b", "na", "nb").count()
     return pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -103,6 +103,24 @@ def test_jaccard_against_brute_force(spark, size, num, den):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, size, num, den)
 
 
+def test_jaccard_with_lists_in_parts_and_clashing_fingerprints(spark, monkeypatch):
+    """Every list is dealt to parts of about two classes; counts beyond any bound keep their order."""
+    prints = jaccard.fingerprints
+    monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(jaccard, "PART_MEANS", 0)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(80)}" for _ in range(40)]
+        texts += [" ".join(w if rng.random() > 0.015 else f"e{rng.randrange(9)}" for w in base) for _ in range(14)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), 3, 9, 10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, 9, 10)
+    order = jaccard.Order(np.array([5, 1, 1 << 40, 0] * (jaccard.CELLS // 4)))
+    own = np.arange(8, dtype=np.uint64) << np.uint64(30) | np.arange(8, dtype=np.uint64)
+    assert (own[np.argsort(order.keys(own), kind="stable")] & np.uint64(3)).tolist() == [3, 3, 1, 1, 0, 0, 2, 2]
+    assert jaccard.Order(order.counts, frozenset([prints(own)[0]])).name(own) == prints(own)[1] and order.name(own) == prints(own)[0]
+
+
 def test_word_hashes_of_long_words_and_texts():
     text = b"ab " * 100_000 + b"x" * 300_000 + b" AB"
     got = jaccard.word_hashes(text)
