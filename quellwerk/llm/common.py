@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quellwerk/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Per open scope of temporary(), the paths that end with it.
+_SCOPES: list[list[str]] = []
+
+
+def materialise(df: DataFrame, label: str, outlive: int = 0) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: lineage ends here, and lost
-    executors lose nothing of it."""
+    executors lose nothing of it. The table stays beyond the outlive innermost temporary()."""
     path = scratch_path(df.sparkSession, label)
+    scopes = _SCOPES[: max(0, len(_SCOPES) - outlive)]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession, *spent: DataFrame) -> Iterator[None]:
+    """Deletes the tables that were written inside, and the spent ones, which materialise() gave, when
+    its body ends without an error. What is needed later has to outlive it, written out."""
+    scope: list[str] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+    _delete(spark, [*scope, *[path for table in spent if (path := getattr(table, "_scratch", None))]])
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellwerk.llm.common import materialise
+from quellwerk.llm.common import materialise, temporary
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = materialise(_stars(_stars(now, large=True), large=False), "edges")
+        with temporary(edges.sparkSession, now):
+            now = materialise(_stars(_stars(now, large=True), large=False), "edges", outlive=True)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

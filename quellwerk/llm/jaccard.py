@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quellwerk.llm.common import array_rows, binary, broadcast_if_small, materialise, mix64, small_batches, summed
+from quellwerk.llm.common import array_rows, binary, broadcast_if_small, materialise, mix64, small_batches, summed, temporary
 from quellwerk.llm.components import components
 
 #: Counters of the frequency sketch. Their number bounds memory and the broadcast; collisions only
@@ -334,14 +334,17 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     rows, classes, order = survey(docs, size, id_col, text_col)
     shared, of_part = spark.sparkContext.broadcast(order), Window.partitionBy("h", "s")
     lists = postings(docs, size, num, den, text_col, shared).withColumn("_low", F.min("cid").over(of_part)).withColumn("_high", F.max("cid").over(of_part))
-    lists = put_together(materialise(lists.filter("k > 1 or _low <> _high"), "lists"), ["_low"], ["_high"])
+    every = materialise(lists.filter("k > 1 or _low <> _high"), "lists")
+    lists = put_together(every, ["_low"], ["_high"])
     lists = lists.filter("_low <> _high").select("h", "s", "k", "cid", *_size_at("size_at", "n", "at")).dropDuplicates(["h", "s", "cid"])
     # Places of a prefix that are in no list hold shingles of that class alone.
     of_class = Window.partitionBy("cid")
     lists = lists.withColumn("lone", F.col("at") - F.row_number().over(of_class.orderBy("at")) + 1).withColumn("_odd", F.max("lone").over(of_class))
     lists = lists.filter(F.col("lone") <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
     lists = lists.withColumn("_lead", F.min(F.struct("_odd", "cid", "n", "at", "lone")).over(of_part)).drop("_odd")
-    lists = put_together(materialise(lists, "postings"), ["_lead"])
+    with temporary(spark, every):
+        lists = materialise(lists, "postings", outlive=1)
+    lists = put_together(lists, ["_lead"])
     lists = lists.select("h", "s", "k", "cid", "n", "at", "lone", F.col("_lead.cid").alias("lead"), *[F.col(f"_lead.{c}").alias(f"lead_{c}") for c in ("n", "at", "lone")])
 
     def alike(n, at, lone, m, at_m, lone_m):
@@ -358,7 +361,11 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     stars = materialise(stars.filter(F.col("count") >= common(F.col("na"), F.col("nb"))).drop("count"), "pairs")
     linked = lambda t: t.filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
     edge = lambda t: linked(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    count = lambda pairs: materialise(overlaps(pairs, segments(docs, pairs, size, text_col, shared)), "overlaps")
+
+    def count(pairs: DataFrame) -> DataFrame:
+        with temporary(spark):
+            return materialise(overlaps(pairs, segments(docs, pairs, size, text_col, shared)), "overlaps", outlive=1)
+
     first = count(stars)
     groups = materialise(components(edge(first)), "components")
 
@@ -410,7 +417,8 @@ def remove_near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: in
     rows that repeat an id one stays, chosen by a hash of the row. The columns are those of docs,
     whatever their names. The ids that go are broadcast if their counted size allows, else joined
     by shuffle."""
-    found = materialise(jaccard_components(docs, size, num, den), "duplicates")
+    with temporary(docs.sparkSession):
+        found = materialise(jaccard_components(docs, size, num, den), "duplicates", outlive=1)
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     kept = whole.join(broadcast_if_small(gone, 16), "id", "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quellwerk.llm.common import BROADCAST_BYTES, broadcast_if_small, kept_columns, materialise
+from quellwerk.llm.common import BROADCAST_BYTES, broadcast_if_small, kept_columns, materialise, temporary
 
 #: The hash keeps this many bits, the leading ones of an MD5.
 BITS = 60
@@ -66,32 +66,34 @@ def split_buckets(sizes: DataFrame, limit: int) -> tuple[DataFrame, int]:
     docs), and that depth. A bucket deeper than it shares its cell with others.
 
     sizes has (h, bytes) per document."""
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-    fine = min(BITS, max(1, -(-total // limit)).bit_length() + 2)
-    cells = _cells(sizes, fine, limit)
-    found = _climb(cells, fine, 0, limit)
-    depth, over = fine, cells.filter("not fits").select("node")
-    while depth < BITS and not over.isEmpty():
-        deeper = min(BITS, depth + 4)
-        # Cells over the limit number at most total / limit.
-        inside = sizes.join(broadcast_if_small(over, 16), F.shiftright("h", BITS - depth) == F.col("node"), "left_semi")
-        cells = _cells(inside, deeper, limit)
-        found += _climb(cells, deeper, depth, limit)
-        depth, over = deeper, cells.filter("not fits").select("node")
-    buckets = found[0]
-    for part in found[1:]:
-        buckets = buckets.unionByName(part)
-    first = F.when(F.col("depth") <= fine, _shifted("left", "node", fine - F.col("depth"))).otherwise(_shifted("right", "node", F.col("depth") - fine))
-    last = F.when(F.col("depth") <= fine, _shifted("left", F.col("node") + 1, fine - F.col("depth")) - 1).otherwise(first)
-    return materialise(buckets.select(F.explode(F.sequence(first, last)).alias("cell"), "node", "depth", "bytes", "docs"), "shard-directory"), fine
+    with temporary(sizes.sparkSession):
+        total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
+        fine = min(BITS, max(1, -(-total // limit)).bit_length() + 2)
+        cells = _cells(sizes, fine, limit)
+        found = _climb(cells, fine, 0, limit)
+        depth, over = fine, cells.filter("not fits").select("node")
+        while depth < BITS and not over.isEmpty():
+            deeper = min(BITS, depth + 4)
+            # Cells over the limit number at most total / limit.
+            inside = sizes.join(broadcast_if_small(over, 16), F.shiftright("h", BITS - depth) == F.col("node"), "left_semi")
+            cells = _cells(inside, deeper, limit)
+            found += _climb(cells, deeper, depth, limit)
+            depth, over = deeper, cells.filter("not fits").select("node")
+        buckets = found[0]
+        for part in found[1:]:
+            buckets = buckets.unionByName(part)
+        first = F.when(F.col("depth") <= fine, _shifted("left", "node", fine - F.col("depth"))).otherwise(_shifted("right", "node", F.col("depth") - fine))
+        last = F.when(F.col("depth") <= fine, _shifted("left", F.col("node") + 1, fine - F.col("depth")) - 1).otherwise(first)
+        return materialise(buckets.select(F.explode(F.sequence(first, last)).alias("cell"), "node", "depth", "bytes", "docs"), "shard-directory", outlive=2), fine
 
 
 def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with n_bytes, shard_id (the leading bits, with a page number where paged), shard_bytes
     and shard_docs. The directory is broadcast if its counted size allows, else joined by shuffle."""
     size = F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long")
-    sizes = materialise(docs.select(hash_bits(F.col(f"`{id_col}`")).alias("h"), size.alias("bytes")), "shard-sizes")
-    directory, fine = split_buckets(sizes, limit)
+    with temporary(docs.sparkSession):
+        sizes = materialise(docs.select(hash_bits(F.col(f"`{id_col}`")).alias("h"), size.alias("bytes")), "shard-sizes")
+        directory, fine = split_buckets(sizes, limit)
     first = directory.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("bytes") > limit, 1)).alias("over")).first()
     names = kept_columns(docs, _NEW) if carry is None else carry
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), hash_bits(F.col(f"`{id_col}`")).alias("_hash"), size.alias("n_bytes"), F.spark_partition_id().alias("_part"))

@@ -52,8 +52,8 @@ def test_decontaminate_against_brute_force(spark):
     texts = [" ".join(word() for _ in range(rng.randrange(30))) for _ in range(30)]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for block_bytes in (1 << 20, 20):
-        got = {r.doc_id: r for r in decontaminate.annotate(docs_of(spark, texts), benchmark, size=4, block_bytes=block_bytes).collect()}
+    for most in (1 << 20, 0):  # broadcast tables, and the shuffle join of a larger benchmark
+        got = {r.doc_id: r for r in decontaminate.annotate(docs_of(spark, texts), benchmark, size=4, broadcast_text=most).collect()}
         for i, text in enumerate(texts):
             w, hit, ids = split(text), set(), set()
             for item, its in items:
@@ -64,7 +64,63 @@ def test_decontaminate_against_brute_force(spark):
                         if p and w[at : at + len(p)] == p:
                             hit.update(range(at, at + len(p)))
                             ids.add(str(item))
-            assert (got[i].n_words, got[i].n_hit, got[i].hit_items) == (len(w), len(hit), sorted(ids))
+            assert (got[i].n_words, got[i].n_hit, got[i].hit_items, got[i].contaminated) == (len(w), len(hit), sorted(ids), bool(hit))
+    nothing = decontaminate.annotate(docs_of(spark, texts), benchmark.limit(0))
+    assert nothing.filter("contaminated or n_items > 0").isEmpty() and nothing.count() == len(texts)
+
+
+LONG = " ".join(f"w{i % 5000}" for i in range(400_000)) + "\n" + "Long line that repeats\n" * 20_000 + "x" * 300_000
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_very_long_texts(spark, name):
+    texts = [LONG, LONG + " end", "short text of a few words"] + [f"word{i} and another one" for i in range(6)]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in QUERIES[name](docs).collect()}
+    assert len(got) == len(texts)
+    if name == "op1":
+        assert got[1].n_words == got[0].n_words + 1 == 400_000 + 4 * 20_000 + 2
+    if name == "op4":
+        assert got[0].component_id == got[1].component_id == 0 and got[2].component_id == 2
+    if name == "op9":
+        assert got[1].n_lines == 20_002 and got[1].n_dropped == 20_001
+    if name == "op10":
+        assert got[0]["size"] == 400_000 + 4 * 20_000 + 1
+
+
+def test_neighbours_edge_tables(spark):
+    schema = "vec_id long, embedding array<float>, node string, score string, query string"
+    rows = [(i, [float(i % 3 + 1), 1.0], "a", "b", "c") for i in range(0, 200, 50)] + [(0, [1.0, 1.0], "a", "b", "c"), (7, [1.0, 2.0, 3.0], "a", "b", "c"), (50, None, None, None, None)]
+    got = neighbours.query(spark.createDataFrame(rows, schema)).collect()
+    assert sorted({r.query_id for r in got}) == [0, 50, 100, 150] and all(r.vec_id != 7 and r.vec_id != r.query_id for r in got)
+    assert all(len([r for r in got if r.query_id == q]) == 3 for q in (0, 50, 100, 150))
+    assert neighbours.query(spark.createDataFrame([], schema)).collect() == []
+    long = [(i, [float((i * 7 + k) % 13) + 1 for k in range(20_000)], "", "", "") for i in range(0, 150, 50)]
+    assert neighbours.query(spark.createDataFrame(long, schema)).count() == 6
+
+
+def test_warc_edge_rows(spark):
+    schema = "page_id long, url string, html string, record_id string, payload string, name string"
+    big = "<p>" + "long page " * 600_000
+    rows = [(5, "u", "same", "a", "b", "c"), (5, "u", "same", "a", "b", "c"), (4, "u", "same", None, None, None), (6, "v", big, "a", "b", "c"), (7, "w", big, "a", "b", "c")]
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.query(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(4, "revisit", 5, 4), (5, "response", None, 4), (5, "response", None, 4), (6, "revisit", 7, len(big)), (7, "response", None, len(big))]
+    archives = warc.convert_arc(warc.pages_to_arc(spark.createDataFrame(rows, schema)))
+    assert archives.select("record_id").distinct().count() == 5
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    there = lambda df: os.path.exists(df._scratch.removeprefix("file://"))
+    before = common.materialise(spark.range(3), "a")
+    with common.temporary(spark, before):
+        inner = common.materialise(before, "b")
+        kept = common.materialise(inner, "c", outlive=1)
+    assert not there(before) and not there(inner) and kept.count() == 3
+    with pytest.raises(ZeroDivisionError), common.temporary(spark, kept):
+        1 / 0  # noqa: B018
+    assert there(kept)
 
 
 def test_line_dedup_keeps_smallest(spark):
