@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread
 as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases: an empty table gives no rows; documents without text, or without a letter, go in the
+first stage; a document without id is kept by all stages that its text passes, and is never a
+duplicate; rows that repeat an id are one document, of which one row stays; columns beside those of
+documents pass through, whatever their names, but for those that the last stage adds.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quellwerk.llm import decontaminate, jaccard, langid, mixing, sharding
-from quellwerk.llm.common import materialise, table
+from quellwerk.llm.common import materialise, table, temporary
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents. What a stage wrote for itself goes when its result is written,
+    and so does the result before."""
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark, *spent):
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), outlive=1)
+        spent = [docs]
     return docs
