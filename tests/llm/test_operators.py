@@ -342,6 +342,41 @@ def test_pairs_are_learnt_as_in_production():
     assert np.mean([(machine.score(r) > 0.5) == (y > 0.5) for r, y in zip(rows[1500:], labels[1500:], strict=True)]) > 0.9
 
 
+def test_quality_against_one_dense_solution(spark):
+    """The sums of the partitions against all rows at once: moments, normal equations, calibration."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(240):
+        good = i % 3 > 0
+        rows.append((i, " ".join(rng.choice(["fine", "words", "stand", "here"] if good or rng.random() < 0.2 else ["X!!", "$$$", "BUY", "1234"]) for _ in range(rng.randrange(3, 40)))))
+        labels.append((i, int(good)))
+    stats = quality.document_statistics(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).cache()
+    model = quality.train(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    part = {r.doc_id: r.p for r in stats.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("p")).collect()}
+    x = np.array([quality.statistics(t.encode()).astype(np.float32) for _, t in rows], float)
+    y = np.array([label for _, label in labels], float)
+    mean, std = x.mean(0), np.sqrt(np.maximum((x * x).mean(0) - x.mean(0) ** 2, 0)) + 1e-3
+    z = np.clip((x - mean) / std, -6, 6)
+    z = np.hstack((np.cos(z @ model.project + model.shift) * np.sqrt(2 / quality.FEATURES), 0.05 * z, np.ones((len(z), 1))))
+    fit = np.array([part[i] != 0 for i, _ in rows])
+    # Ridge as least squares with as many further rows as there are weights.
+    wide = np.vstack((z[fit], np.sqrt(quality.RIDGE) * np.eye(z.shape[1])))
+    weights = np.linalg.lstsq(wide, np.concatenate((y[fit], np.zeros(z.shape[1]))), rcond=None)[0]
+    assert np.allclose(model.weights, weights, atol=1e-5)
+    raw = z @ weights
+    # The kernel that the features approximate is Gaussian in the standardised statistics.
+    a, b = np.clip((x[0] - mean) / std, -6, 6), np.clip((x[1] - mean) / std, -6, 6)
+    many = [quality.Model(seed=k) for k in range(300)]
+    near = np.mean([np.cos(a @ m.project + m.shift) @ np.cos(b @ m.project + m.shift) * 2 / quality.FEATURES for m in many])
+    assert near == pytest.approx(np.exp(-((a - b) ** 2).sum() / (2 * quality.N_STATS)), abs=0.02)
+    held = ~fit
+    order = np.argsort(raw[held])
+    levels = np.interp(raw[held][order], model.knots, model.levels)
+    assert (np.diff(levels) >= -1e-12).all() and abs(levels.mean() - y[held].mean()) < 0.05
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    assert all(got[i] == pytest.approx(float(np.clip(np.interp(raw[i], model.knots, model.levels), 0, 1)), abs=1e-3) for i in range(240))
+
+
 def test_gradients_against_finite_differences():
     """The loss written out pair by pair, in double precision."""
     rng = np.random.default_rng(2)
