@@ -66,12 +66,13 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-#: Cuts that deal a group's distinct values to windows of like size.
-CUTS = 255
+#: Windows that a group's distinct values are dealt to, and how many of them one coarse step spans.
+WINDOWS, STEP = 256, 16
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by..., quantiles): exact quantiles by linear interpolation, null where a group has no value.
+    """(by..., quantiles, n, mean, low, high): exact quantiles by linear interpolation, the number of values,
+    their mean and the smallest and largest, of the groups that have a value.
 
     Values are first counted, so ties cost nothing; the distinct ones are dealt to windows by cuts
     from a sketch, and each window ranks its own from the total of those before. No task holds a
@@ -82,8 +83,12 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | No
     plain = df.select(*[F.struct(F.col(b).isNull().alias("n"), F.col(b).alias("v")).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v"))
     counted = plain.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     hashed = counted.withColumn("_g", F.xxhash64(*[F.to_json(k) for k in keys]) if keys else F.lit(0).cast("long"))
-    cuts = hashed.groupBy("_g").agg(F.percentile_approx("_v", F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), F.lit(10_000)).alias("_cuts"))
-    dealt = hashed.join(cuts, "_g").withColumn("_w", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))).drop("_cuts")
+    cuts = hashed.groupBy("_g").agg(F.percentile_approx("_v", F.array(*[F.lit(i / WINDOWS) for i in range(1, WINDOWS)]), F.lit(10_000)).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.array(*[F.get("_cuts", F.lit(i - 1)) for i in range(STEP, WINDOWS, STEP)]))
+    below = lambda cut: F.size(F.filter(cut, lambda c: c < F.col("_v")))
+    # The number of cuts below a value, counted in two steps.
+    dealt = hashed.join(cuts, "_g").withColumn("_i", below("_coarse"))
+    dealt = dealt.withColumn("_w", F.col("_i") * STEP + below(F.slice("_cuts", F.col("_i") * STEP + 1, F.lit(STEP - 1)))).drop("_cuts", "_coarse", "_i")
     sums = dealt.groupBy("_g", "_w").agg(F.sum("_n").alias("_s"))
     earlier = Window.partitionBy("_g").orderBy("_w")
     starts = sums.select("_g", "_w", (F.sum("_s").over(earlier) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_g")).alias("_all"))
@@ -94,9 +99,9 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | No
         at = F.lit(share) * (F.col("_all") - 1)
         holds = lambda place: (F.col("_first") <= place) & (place < F.col("_last"))
         found += [F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias(f"_hi{i}"), F.max(at - F.floor(at)).alias(f"_part{i}")]
-    ends = placed.groupBy("_g", *keys).agg(*found)
+    ends = placed.groupBy("_g", *keys).agg(*found, F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"))
     between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]
-    return ends.select(*[F.col(f"{k}.v").alias(b) for b, k in zip(by, keys, strict=True)], F.array(*between).alias("quantiles"))
+    return ends.select(*[F.col(f"{k}.v").alias(b) for b, k in zip(by, keys, strict=True)], F.array(*between).alias("quantiles"), "n", "mean", "low", "high")
 
 
 def with_quantiles(rows: DataFrame, found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
@@ -132,8 +137,8 @@ def boolean_lift(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def category_mean(df: DataFrame, column: str, target: str, min_n: int = 20) -> DataFrame:
     """Mean and median per category; null is 'unknown'; small categories are left out."""
     named = df.select(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("category"), F.col(target).alias("_t"))
-    stats = named.groupBy("category").agg(F.count("_t").alias("n"), F.avg("_t").alias("mean")).filter(F.col("n") >= min_n)
-    return with_quantiles(stats, quantiles(named, "_t", [0.5], ["category"]), ["category"], ["median"])
+    found = quantiles(named, "_t", [0.5], ["category"]).filter(F.col("n") >= min_n)
+    return found.select("category", "n", "mean", F.get("quantiles", F.lit(0)).alias("median"))
 
 
 def binned(df: DataFrame, column: str, target: str, edges: list[float], right_closed: bool = False) -> DataFrame:
@@ -151,11 +156,12 @@ def binned(df: DataFrame, column: str, target: str, edges: list[float], right_cl
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row of statistics per column, zeros if there is nothing."""
-    long = unpivot(df, columns, [])
     names = ["p10", "p25", "median", "p75", "p90"]
-    stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    found = with_quantiles(stats, quantiles(long, "value", [0.1, 0.25, 0.5, 0.75, 0.9], ["feature"]), ["feature"], names)
-    return found.select("feature", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", *names, "min", "max")])
+    fixed = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    found = fixed.join(quantiles(unpivot(df, columns, []), "value", [0.1, 0.25, 0.5, 0.75, 0.9], ["feature"]), "feature", "left")
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    parts = [zero(F.get("quantiles", F.lit(i)), name) for i, name in enumerate(names)]
+    return found.select("feature", F.coalesce("n", F.lit(0)).alias("n"), zero(F.col("mean"), "mean"), *parts, zero(F.col("low"), "min"), zero(F.col("high"), "max"))
 
 
 def split_by_quantile(df: DataFrame, score: str, share: float, by: list[str] | None = None) -> DataFrame:
@@ -212,8 +218,8 @@ def prevalence(df: DataFrame, flags: list[str]) -> DataFrame:
 
 def score_stats(df: DataFrame, by: str, score: str) -> DataFrame:
     """Number, mean, median and ninth decile of the score per group."""
-    stats = df.groupBy(by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"))
-    return with_quantiles(stats, quantiles(df, score, [0.5, 0.9], [by]), [by], ["median", "p90"])
+    found = quantiles(df, score, [0.5, 0.9], [by])
+    return found.select(by, "n", "mean", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p90"))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -41,9 +41,9 @@ def pairs(t) -> DataFrame:
 @query(f"SELECT domain_type, count(*) AS pages, round(avg(w), 6) AS mean_words, round(quantile_cont(w, 0.5), 6) AS median_words, round(quantile_cont(w, 0.9), 6) AS p90_words FROM (SELECT {DOMAIN_TYPE} AS domain_type, len({TOKENS(f"regexp_replace(html, {_q(K.TAGS)}, ' ', 'g')")}) AS w FROM pages) GROUP BY 1")
 def q_domain_type_words(t):
     rows = t("pages").select(X.domain_type(X.feature_domain(c("url"))).alias("domain_type"), F.size(X.tokens(X.strip_tags(c("html")))).alias("w"))
-    stats = rows.groupBy("domain_type").agg(F.count(lit(1)).alias("pages"), F.round(F.avg("w"), 6).alias("mean_words"))
-    found = A.with_quantiles(stats, A.quantiles(rows, "w", [0.5, 0.9], ["domain_type"]), ["domain_type"], ["median_words", "p90_words"])
-    return found.select("domain_type", "pages", "mean_words", F.round("median_words", 6).alias("median_words"), F.round("p90_words", 6).alias("p90_words"))
+    found = A.quantiles(rows, "w", [0.5, 0.9], ["domain_type"])
+    part = lambda i, name: F.round(F.get("quantiles", lit(i)), 6).alias(name)
+    return found.select("domain_type", c("n").alias("pages"), F.round("mean", 6).alias("mean_words"), part(0, "median_words"), part(1, "p90_words"))
 
 
 @query(f"SELECT doc_id, len({TOKENS('text')}) AS n_tokens, length(text) AS n_chars FROM documents")

@@ -144,6 +144,12 @@ def test_quantiles_against_percentile(spark):
     assert A.quantiles(rows.limit(0), "v", [0.5], ["g"]).collect() == [] and A.quantiles(rows, "v", [0.5]).count() == 1
 
 
+def test_summary_of_nothing_is_zero(spark):
+    empty = spark.createDataFrame([(None, 1.0)], "a double, b double")
+    got = {r.feature: tuple(r)[1:] for r in A.summary(empty, ["a", "b"]).collect()}
+    assert got == {"a": (0,) + (0.0,) * 8, "b": (1,) + (1.0,) * 8}
+
+
 @pytest.mark.parametrize(("r", "n", "p"), [(0.5, 10, 0.14111328125), (0.0, 12, 1.0), (1.0, 5, 0.0), (-0.3, 4, 0.7)])
 def test_correlation_p(r, n, p):
     if n == 10:  # by integration of the density of r under independence, (1 - r^2)^((n - 4) / 2)
