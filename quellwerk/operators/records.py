@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellwerk.functions import text as X
 from quellwerk.operators.analytics import quantiles, with_quantiles
 
 
@@ -94,7 +95,7 @@ def prompt_lines(files: DataFrame, blank: bool = True) -> DataFrame:
     """(layer, n, prompt) from whole files (name, value); n counts lines from 1, or without
     blank only those that hold something."""
     lines = F.split("value", "\r?\n")
-    files = files.withColumn("_l", lines if blank else F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))
+    files = files.withColumn("_l", lines if blank else F.filter(F.transform(lines, lambda x: X.strip(x)), lambda x: x != ""))
     layer = F.regexp_replace(F.regexp_replace("name", "^prompt", ""), r"\.txt$", "")
     return files.select(layer.alias("layer"), F.posexplode("_l").alias("_p", "prompt")).select("layer", (F.col("_p") + 1).alias("n"), "prompt")
 

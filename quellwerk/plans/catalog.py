@@ -448,4 +448,4 @@ def q_role_share(t):
 
 
 # The other modules of queries register theirs when they are imported.
-from quellwerk.plans import feature_queries, search_queries  # noqa: E402, F401
+from quellwerk.plans import feature_queries, search_queries, source_queries  # noqa: E402, F401

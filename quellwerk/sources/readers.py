@@ -112,8 +112,10 @@ def write_index(records: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
-    """CSV files with header, in the order of columns, written in parallel."""
-    rows.select(*columns).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    """CSV files with header, in the order of columns, written in parallel; white space
+    at the ends of a value stays."""
+    writer = rows.select(*columns).write.mode(mode).option("header", "true").option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 BOM = "\ufeff"
