@@ -17,7 +17,7 @@ FAILURE_SCHEMA = "url string, error_class string, fetch_error string, status_cod
 
 def read_html(spark: SparkSession, path: str, glob: str = "*.{html,htm}") -> DataFrame:
     """(path, html) of all pages below path; bytes that are not UTF-8 become U+FFFD and
-    are removed."""
+    are removed; empty files, which hold no answer, give no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("html"))
 
@@ -33,9 +33,9 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], na: bool = True) -> DataFrame:
     """A CSV with header and quoted line ends as strings; with na, the usual tokens for
-    missing values become null."""
+    missing values become null, else an empty cell is the empty text."""
     rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
-    return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) if na else F.col(f"`{c}`") for c in columns])
+    return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) if na else F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
 def null_tokens(column: Column) -> Column:
@@ -67,7 +67,7 @@ def lookup_cache(urls: DataFrame, cache: DataFrame) -> DataFrame:
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Whole prompt files (name, value)."""
-    return spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
