@@ -70,9 +70,17 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
 WINDOWS, STEP = 256, 16
 
 
+def mean(value: str) -> Column:
+    """The mean of a column's values but for NaN, row by row as SQL's avg adds them: a sum over counted
+    values rounds otherwise, which shows where a mean lies midway between two rounded ones."""
+    x = F.col(value).cast("double")
+    return F.avg(F.when(~F.isnan(x), x))
+
+
 def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by..., quantiles, n, mean, low, high): exact quantiles by linear interpolation, the number of values,
-    their mean and the smallest and largest, of the groups that have a value.
+    """(by..., quantiles, n, sum, low, high): exact quantiles by linear interpolation, the number of values,
+    their sum (to be divided for a mean of whole numbers only) and the smallest and largest, of the
+    groups that have a value.
 
     Values are first counted, so ties cost nothing; the distinct ones are dealt to windows by cuts
     from a sketch, and each window ranks its own from the total of those before. No task holds a
@@ -99,14 +107,14 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | No
         at = F.lit(share) * (F.col("_all") - 1)
         holds = lambda place: (F.col("_first") <= place) & (place < F.col("_last"))
         found += [F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias(f"_hi{i}"), F.max(at - F.floor(at)).alias(f"_part{i}")]
-    ends = placed.groupBy("_g", *keys).agg(*found, F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    ends = placed.groupBy("_g", *keys).agg(*found, F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("sum"), F.min("_v").alias("low"), F.max("_v").alias("high"))
     between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]
-    return ends.select(*[F.col(f"{k}.v").alias(b) for b, k in zip(by, keys, strict=True)], F.array(*between).alias("quantiles"), "n", "mean", "low", "high")
+    return ends.select(*[F.col(f"{k}.v").alias(b) for b, k in zip(by, keys, strict=True)], F.array(*between).alias("quantiles"), "n", "sum", "low", "high")
 
 
-def with_quantiles(rows: DataFrame, found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """rows, one per group, with the quantiles as columns; null keys match."""
-    right = found.select(*[F.col(b).alias(f"_q_{b}") for b in by], *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
+def with_quantiles(rows: DataFrame, found: DataFrame, by: list[str], names: list[str], more: list[str] | None = None) -> DataFrame:
+    """rows, one per group, with the quantiles, and more of what was found, as columns; null keys match."""
+    right = found.select(*[F.col(b).alias(f"_q_{b}") for b in by], *(more or []), *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_q_{b}"))
@@ -137,8 +145,9 @@ def boolean_lift(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def category_mean(df: DataFrame, column: str, target: str, min_n: int = 20) -> DataFrame:
     """Mean and median per category; null is 'unknown'; small categories are left out."""
     named = df.select(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("category"), F.col(target).alias("_t"))
-    found = quantiles(named, "_t", [0.5], ["category"]).filter(F.col("n") >= min_n)
-    return found.select("category", "n", "mean", F.get("quantiles", F.lit(0)).alias("median"))
+    stats = named.groupBy("category").agg(mean("_t").alias("mean"))
+    found = with_quantiles(stats, quantiles(named, "_t", [0.5], ["category"]), ["category"], ["median"], ["n"])
+    return found.filter(F.col("n") >= min_n).select("category", "n", "mean", "median")
 
 
 def binned(df: DataFrame, column: str, target: str, edges: list[float], right_closed: bool = False) -> DataFrame:
@@ -157,11 +166,11 @@ def binned(df: DataFrame, column: str, target: str, edges: list[float], right_cl
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row of statistics per column, zeros if there is nothing."""
     names = ["p10", "p25", "median", "p75", "p90"]
-    fixed = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    found = fixed.join(quantiles(unpivot(df, columns, []), "value", [0.1, 0.25, 0.5, 0.75, 0.9], ["feature"]), "feature", "left")
+    fixed, long = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string"), unpivot(df, columns, [])
+    found = fixed.join(long.groupBy("feature").agg(mean("value").alias("mean")), "feature", "left")
+    found = with_quantiles(found, quantiles(long, "value", [0.1, 0.25, 0.5, 0.75, 0.9], ["feature"]), ["feature"], names, ["n", "low", "high"])
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    parts = [zero(F.get("quantiles", F.lit(i)), name) for i, name in enumerate(names)]
-    return found.select("feature", F.coalesce("n", F.lit(0)).alias("n"), zero(F.col("mean"), "mean"), *parts, zero(F.col("low"), "min"), zero(F.col("high"), "max"))
+    return found.select("feature", F.coalesce("n", F.lit(0)).alias("n"), *[zero(c, c) for c in ("mean", *names)], zero("low", "min"), zero("high", "max"))
 
 
 def split_by_quantile(df: DataFrame, score: str, share: float, by: list[str] | None = None) -> DataFrame:
@@ -218,8 +227,9 @@ def prevalence(df: DataFrame, flags: list[str]) -> DataFrame:
 
 def score_stats(df: DataFrame, by: str, score: str) -> DataFrame:
     """Number, mean, median and ninth decile of the score per group."""
-    found = quantiles(df, score, [0.5, 0.9], [by])
-    return found.select(by, "n", "mean", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p90"))
+    stats = df.groupBy(by).agg(mean(score).alias("mean"))
+    found = with_quantiles(stats, quantiles(df, score, [0.5, 0.9], [by]), [by], ["median", "p90"], ["n"])
+    return found.filter("n > 0").select(by, "n", "mean", "median", "p90")
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

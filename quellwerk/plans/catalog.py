@@ -43,7 +43,7 @@ def q_domain_type_words(t):
     rows = t("pages").select(X.domain_type(X.feature_domain(c("url"))).alias("domain_type"), F.size(X.tokens(X.strip_tags(c("html")))).alias("w"))
     found = A.quantiles(rows, "w", [0.5, 0.9], ["domain_type"])
     part = lambda i, name: F.round(F.get("quantiles", lit(i)), 6).alias(name)
-    return found.select("domain_type", c("n").alias("pages"), F.round("mean", 6).alias("mean_words"), part(0, "median_words"), part(1, "p90_words"))
+    return found.select("domain_type", c("n").alias("pages"), F.round(c("sum") / c("n"), 6).alias("mean_words"), part(0, "median_words"), part(1, "p90_words"))
 
 
 @query(f"SELECT doc_id, len({TOKENS('text')}) AS n_tokens, length(text) AS n_chars FROM documents")

@@ -29,3 +29,11 @@ def test_matches_sql(spark, duck, name):
     assert sorted(columns) == sorted(got.columns)
     rows = sorted((tuple(norm(r[c]) for c in columns) for r in got.collect()), key=repr)
     assert rows == sorted((tuple(map(norm, r)) for r in want.fetchall()), key=repr)
+
+
+def test_mean_midway_between_two_rounded_ones(spark, duck):
+    """On sf0.01 the mean tax is 0.0399315, so the sixth digit is that of the sum row by row."""
+    large = DIR.replace("sf0.001", "sf0.01")
+    want = duck.execute(catalog.ORACLES["q_summary_stats"].replace("lineitem", f"'{large}/lineitem.parquet'")).fetchall()
+    got = catalog.QUERIES["q_summary_stats"](spark, large).collect()
+    assert sorted(map(tuple, got)) == sorted(want)

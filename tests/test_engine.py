@@ -1,5 +1,8 @@
 """Operators on hand-written rows that the provided tables lack."""
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -112,3 +115,13 @@ def test_pair_files_and_prompts(spark):
 
 def test_markdown(spark):
     assert markdown_table(spark.createDataFrame([("a|b", 0.5, None)], "x string, y double, z int")) == "| x | y | z |\n| --- | --- | --- |\n| a\\|b | 0.5 | - |"
+
+
+def test_means_are_taken_row_by_row(spark):
+    rows = spark.createDataFrame([("a", 0.1)] * 10 + [("a", float("nan")), ("a", None), ("b", None)], "k string, x double").coalesce(1)
+    added = reduce(add, [0.1] * 10) / 10  # sum() would compensate
+    assert added != 0.1
+    assert [tuple(r)[:3] for r in A.summary(rows, ["x"]).collect()] == [("x", 10, added)]
+    assert [tuple(r)[:3] for r in A.category_mean(rows, "k", "x", 1).collect()] == [("a", 10, added)]
+    assert [tuple(r)[:3] for r in A.score_stats(rows, "k", "x").collect()] == [("a", 10, added)]
+    assert A.summary(rows.filter("k = 'c'"), ["x"]).first().asDict() == {"feature": "x", "n": 0} | dict.fromkeys(["mean", "p10", "p25", "median", "p75", "p90", "min", "max"], 0.0)
