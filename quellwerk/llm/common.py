@@ -47,14 +47,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _SCOPES: list[list[str]] = []
 
 
+#: Whether Spark deletes an execution's shuffle files when it ends; without it, they stay until the
+#: driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, outlive: int = 0) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: lineage ends here, and lost
-    executors lose nothing of it. The table stays beyond the outlive innermost temporary()."""
+    executors lose nothing of it. The table stays beyond the outlive innermost temporary(); the shuffle
+    files of the writing, which nothing else reads, go at once."""
     path = scratch_path(df.sparkSession, label)
     scopes = _SCOPES[: max(0, len(_SCOPES) - outlive)]
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

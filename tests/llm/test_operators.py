@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -538,3 +539,22 @@ def test_sketches_differ_in_no_more_bits_than_sets_do_in_members(seed):
         apart = len(np.setxor1d(left, right))
         bits = sum(int(x).bit_count() for x in jaccard.sketch(left).view(np.uint64) ^ jaccard.sketch(right).view(np.uint64))
         assert bits <= apart and bits % 2 == apart % 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They were left until the driver's garbage collection, beside the tables that they had become."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles().iterator()
+        return {name for f in iter(lambda: files.next() if files.hasNext() else None, None) if (name := f.getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key, None)
+    out = common.materialise(spark.range(1000).groupBy(F.pmod(F.xxhash64("id"), F.lit(10)).alias("k")).count(), "counts")
+    end = time.time() + 10
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert out.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get(key, None) == setting
