@@ -29,9 +29,8 @@ DEGREE, GATHER = 24, 80
 ROUNDS, BLOCK, TREES, BEAM = 8, 160, 4, 192
 #: Further bits by which a sign pattern that too many nodes share is cut.
 MORE_BITS = 24
-#: Nodes with more links than this are dealt to local joins by a broadcast table, which has at most
-#: MOST_HUBS rows; how many links the others have is bounded.
-LEAST_HUB, MOST_HUBS = 1000, 1 << 20
+#: The most rows of the broadcast table of nodes whose links are dealt to several local joins.
+MOST_HUBS = 1 << 20
 #: Nodes whose rounded score comes so near to the last one wanted are ranked by the exact one.
 CLOSE = 1e-5
 
@@ -188,12 +187,17 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dealt(links: DataFrame) -> DataFrame:
     """links (node, near, fresh) with part: the links of a node are dealt to local joins of about GATHER
-    rows, and none is dropped. Those of the largest hubs are dealt by a broadcast table of how many
-    they have, so that they never meet in one task."""
+    rows, and none is dropped. Nodes of more links than that are known from a broadcast table of how
+    many they have, so that a hub's links never meet in one task. It has a row per node, so joining it
+    gives each link once. If there are too many such nodes for it, those of fewer links, a bounded
+    number, are dealt by a window."""
     sizes = links.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-    hubs = sizes.filter(F.col("_n") > max(LEAST_HUB, links.count() // MOST_HUBS))
-    marked = links.join(F.broadcast(hubs), "node", "left")
-    hub = marked.filter("_n is not null").withColumn("part", F.pmod(F.xxhash64("near"), F.ceil(F.col("_n") / GATHER)))
+    least = max(GATHER, links.count() // MOST_HUBS)
+    marked = links.join(F.broadcast(sizes.filter(F.col("_n") > least)), "node", "left")
+    parts = F.pmod(F.xxhash64("near"), F.ceil(F.col("_n") / GATHER))
+    if least == GATHER:
+        return marked.withColumn("part", F.coalesce(parts, F.lit(0))).drop("_n")
+    hub = marked.filter("_n is not null").withColumn("part", parts)
     dealt = Window.partitionBy("node").orderBy(F.xxhash64("near"))
     rest = marked.filter("_n is null").withColumn("part", F.floor((F.row_number().over(dealt) - 1) / GATHER))
     return rest.unionByName(hub).drop("_n")

@@ -558,3 +558,19 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not shuffled() - before
     assert out.agg(F.sum("count")).first()[0] == 1000
     assert spark.conf.get(key, None) == setting
+
+
+def test_links_are_dealt_evenly_and_once(spark, monkeypatch):
+    """A node of just over GATHER links had one that was compared with nothing."""
+    counts = {1: 3, 2: neighbours.GATHER + 1, 3: 500, 4: 5000}
+    want = sorted((node, 10_000 * node + k) for node, n in counts.items() for k in range(n))
+    links = spark.createDataFrame([(*link, 1) for link in want], "node long, near long, fresh int")
+    dealt = [tuple(r) for r in neighbours._dealt(links).select("node", "near", "part").collect()]
+    assert sorted(d[:2] for d in dealt) == want
+    sizes = {}
+    for node, _, part in dealt:
+        sizes[node, part] = sizes.get((node, part), 0) + 1
+    assert {node: sum(k[0] == node for k in sizes) for node in counts} == {1: 1, 2: 2, 3: 7, 4: 63}
+    assert min(sizes[k] for k in sizes if k[0] > 1) > neighbours.GATHER // 4 and max(sizes.values()) < 2 * neighbours.GATHER
+    monkeypatch.setattr(neighbours, "MOST_HUBS", 10)  # the table may have ten rows, so only node 4 is in it
+    assert sorted((r.node, r.near) for r in neighbours._dealt(links).collect()) == want
